@@ -60,7 +60,9 @@ def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("timestamp_ntz").alias("timestamp"),
         F.lit("P2").alias("value_type"),
         F.col("l_quantity").cast("string").alias("value"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("ord"),
+        # (orderkey, linenumber, partkey, suppkey) is the unique row key.
+        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + F.col("l_partkey")) * 4096
+         + F.col("l_suppkey")).cast("bigint").alias("ord"),
     )
 
 
@@ -80,5 +82,6 @@ def lineitem_readings_sql() -> str:
         f"SELECT CAST(l_suppkey % {N_DENSE_LOCATIONS} AS BIGINT) AS location, "
         "CAST(l_suppkey AS VARCHAR) AS sensor_id, CAST(l_shipdate AS TIMESTAMP) AS timestamp, "
         "'P2' AS value_type, CAST(l_quantity AS VARCHAR) AS value, "
-        "CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS ord FROM lineitem"
+        "CAST(((l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey) * 4096 + l_suppkey AS BIGINT) AS ord "
+        "FROM lineitem"
     )
