@@ -22,8 +22,11 @@ FIXTURE_SITES = [
 
 def location_dim(spark: SparkSession, sites=None) -> DataFrame:
     """Dimension DataFrame; default = the application's six sites."""
-    rows = [(int(a), b, float(c), float(d)) for a, b, c, d in (sites or SENSOR_LOCATIONS)]
-    return spark.createDataFrame(rows, DIM_SCHEMA)
+    rows = [F.struct(F.lit(int(a)).cast("bigint").alias("location"), F.lit(b).alias("name"),
+                     F.lit(float(c)).alias("lat"), F.lit(float(d)).alias("lon"))
+            for a, b, c, d in (sites or SENSOR_LOCATIONS)]
+    # Built from literals on the JVM (a LocalRelation), no Python round trip.
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def fixture_dim(spark: SparkSession) -> DataFrame:
