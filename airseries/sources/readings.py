@@ -66,6 +66,23 @@ def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lineitem_wide_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense multi-year series with weather-like covariates, for model fitting:
+    P2 = l_quantity, temperature = 100 * l_discount, humidity = 100 * l_tax."""
+    base = lineitem_readings(spark, sf_dir)
+    li = table(spark, sf_dir, "lineitem")
+    extra = li.select(
+        (F.col("l_suppkey") % N_DENSE_LOCATIONS).cast("bigint").alias("location"),
+        F.col("l_suppkey").cast("string").alias("sensor_id"),
+        F.col("l_shipdate").cast("timestamp_ntz").alias("timestamp"),
+        F.expr("stack(2, 'temperature', CAST(l_discount * 100 AS STRING), 'humidity', CAST(l_tax * 100 AS STRING))")
+        .alias("value_type", "value"),
+        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + F.col("l_partkey")) * 4096
+         + F.col("l_suppkey")).cast("bigint").alias("ord"),
+    )
+    return base.unionByName(extra)
+
+
 # SQL text of the same mapping, for oracles and SQL users.
 def events_readings_sql(dense: bool = True) -> str:
     arms = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_VALUE_TYPES.items())
