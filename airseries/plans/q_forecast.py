@@ -160,7 +160,7 @@ def forecast_transfer(spark, sf_dir):
     model = FC.fit_additive(t, spec)
     hist = FC.history_arrays(_model_series(spark, sf_dir), "P2", max(50, 168))
     # The model table holds one row per target: a proven size bound, so broadcast.
-    j = hist.crossJoin(F.broadcast(model))
+    j = hist.withColumn("model_key", F.lit("P2")).join(F.broadcast(model), "model_key")
     base_fn, weights = FC.additive_base_and_weights(spec, [1, 2, 3, 4, 5, 24])
     return FC.recursive_forecast(j, 168, base_fn, weights, FC.residual_std_or_default(F.lit(None), F.lit(FIXED_MAE)))
 
