@@ -80,13 +80,14 @@ def read_raw(spark: SparkSession, paths, cutoff_year: int | None = None, cutoff_
     for header, group_paths in groups.items():
         cols = [c.strip().strip('"') for c in header.split(";")]
         safe = [f"c{i}" for i in range(len(cols))]
+        # One spare column catches a field beyond the header: such lines are
+        # dropped; short lines are padded with NULLs (PERMISSIVE).  This works
+        # with the CSV parser's column pruning, unlike a corrupt-record column.
         schema = T.StructType([T.StructField(s, T.StringType()) for s in safe]
-                              + [T.StructField("_bad", T.StringType())])
+                              + [T.StructField("_extra", T.StringType())])
         df = (spark.read.option("sep", ";").option("header", True).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", "_bad").option("ignoreCorruptFiles", True)
-              .schema(schema).csv(group_paths))
-        too_long = F.size(F.split(F.col("_bad"), ";")) > F.lit(len(cols))
-        df = df.where(F.col("_bad").isNull() | ~too_long)
+              .option("ignoreCorruptFiles", True).schema(schema).csv(group_paths))
+        df = df.where(F.col("_extra").isNull())
         ord_ = F.struct(F.element_at(rank_map, F.col("_metadata.file_path")).alias("f"),
                         F.col("_metadata.file_block_start").alias("b"),
                         F.monotonically_increasing_id().alias("r"))

@@ -1,5 +1,7 @@
 """Every registered query with an oracle must agree with DuckDB at sf0.01."""
 
+import os
+
 import pytest
 
 import __spark_entry__ as E
@@ -20,12 +22,20 @@ def test_matches_oracle(spark, con, name):
     compare(df, con, ORACLE[name])
 
 
-def test_every_query_runs_at_smoke_scale(spark):
-    for name, fn in E.queries().items():
-        if name in ORACLE:
-            continue
-        df = fn(spark, "/root/testdata/sf0.001")
-        assert df.count() >= 0, name
+SLOW = {"grid_search"}  # 48 boosted-tree fits; run with AIRSERIES_SLOW=1
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(ORACLE) - SLOW))
+def test_rows_only_queries_run(spark, name):
+    df = E.queries()[name](spark, "/root/testdata/sf0.001")
+    assert df.count() > 0, name
+
+
+@pytest.mark.skipif(not os.environ.get("AIRSERIES_SLOW"), reason="slow: set AIRSERIES_SLOW=1")
+def test_grid_search(spark):
+    df = E.queries()["grid_search"](spark, "/root/testdata/sf0.001")
+    rows = df.collect()
+    assert len(rows) == 16 and all(r["n_folds"] == 3 for r in rows)
 
 
 def test_entry(spark):
