@@ -85,4 +85,5 @@ MAX_HORIZON = 720
 
 # Period labels
 WEEKEND_LABELS = ("weekend", "semaine")
+NOTEBOOK_WEEKEND_LABELS = ("Week-end", "Semaine")
 # ----------------------------------------------------------- END FIXED VALUES

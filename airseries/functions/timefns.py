@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from airseries.functions.constants import DAY_EN_TO_FR, DAY_ORDER_FR, WEEKEND_LABELS
+from airseries.functions.constants import DAY_EN_TO_FR, DAY_ORDER_FR, NOTEBOOK_WEEKEND_LABELS, WEEKEND_LABELS
 
 
 def _col(c) -> Column:
@@ -61,9 +61,9 @@ def weekday_mon0(c) -> Column:
     return F.weekday(_col(c))
 
 
-def period_label(c) -> Column:
-    """'weekend' on Saturday/Sunday, else 'semaine'."""
-    weekend, weekday = WEEKEND_LABELS
+def period_label(c, vocabulary: str = "pipeline") -> Column:
+    """X25: 'weekend' / 'semaine' (pipeline) or 'Week-end' / 'Semaine' (notebook)."""
+    weekend, weekday = WEEKEND_LABELS if vocabulary == "pipeline" else NOTEBOOK_WEEKEND_LABELS
     return F.when(F.weekday(_col(c)) >= 5, F.lit(weekend)).otherwise(F.lit(weekday))
 
 

@@ -82,7 +82,7 @@ def manifest_json(spark, sf_dir):
 
 @register("export_two_columns", f"""
 WITH {hourly_chain()}
-SELECT CAST(timestamp AS VARCHAR) AS "Date", CAST(P2 AS VARCHAR) AS "Valeur" FROM h WHERE location = 0
+SELECT CAST(timestamp AS VARCHAR) AS "Date", round(P2, 6) AS "Valeur" FROM h WHERE location = 0
 """)
 def export_two_columns(spark, sf_dir):
     """SC13: two renamed columns exported as CSV, read back as text."""
@@ -91,7 +91,7 @@ def export_two_columns(spark, sf_dir):
     sinks.export_two_columns(h.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")),
                              "timestamp", "P2", path)
     back = spark.read.option("header", True).schema("Date STRING, Valeur STRING").csv(path)
-    return back.select("Date", F.col("Valeur").cast("double").cast("string").alias("Valeur"))
+    return back.select("Date", F.col("Valeur").cast("double").alias("Valeur"))
 
 
 @register("landed_file_gate")

@@ -46,4 +46,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so its registrations run."""
-    from airseries.plans import q_core, q_features, q_kpi, q_explore, q_fusion, q_seasonal, q_forecast, q_misc, q_io, q_stream, q_trees  # noqa: F401
+    from airseries.plans import q_core, q_features, q_kpi, q_explore, q_fusion, q_seasonal, q_forecast, q_misc, q_io, q_stream, q_trees, q_extra  # noqa: F401
