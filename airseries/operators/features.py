@@ -76,11 +76,16 @@ def clean_temperature(df: DataFrame, col: str = "temperature", by: str = "locati
 
 
 def add_features(hourly: DataFrame, by: str = "location") -> DataFrame:
-    """The pipeline's feature step: calendar, sanitised temperature, 18 lags."""
-    out = add_calendar(hourly)
+    """The pipeline's feature step: calendar, sanitised temperature, 18 lags.
+
+    Lags (on P0/P1/P2) are added before the temperature interpolation so the
+    ascending-order windows share one sort and only the reversed 'next known
+    value' window needs a second one.
+    """
+    out = add_lags(add_calendar(hourly), by=by)
     if "temperature" in out.columns:
         out = clean_temperature(out, by=by)
-    return add_lags(out, by=by)
+    return out
 
 
 def rolling(df: DataFrame, col: str, n: int = 24, by: str = "location") -> DataFrame:

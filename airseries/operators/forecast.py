@@ -93,15 +93,18 @@ def recursive_forecast(hist: DataFrame, horizon: int, base_fn, lag_weights: dict
     base = F.transform(steps, lambda i: base_fn(F.col("last_ts") + F.make_dt_interval(hours=i)))
     w = {int(l): (v if isinstance(v, Column) else F.lit(float(v))) for l, v in lag_weights.items()}
 
+    # The time-only part is carried in the fold state, so it is evaluated once
+    # per location (an outer column referenced inside the lambda could be
+    # inlined by the optimizer and recomputed at every step).
     def step(acc, i):
-        y = F.element_at(F.col("_base"), i + 1)
+        vals = acc["v"]
+        y = F.element_at(acc["b"], i + 1)
         for lag, wl in w.items():
-            y = y + wl * _lag_value(acc, lag)
-        return F.array_append(acc, F.greatest(F.lit(0.0), y))
+            y = y + wl * _lag_value(vals, lag)
+        return F.struct(acc["b"].alias("b"), F.array_append(vals, F.greatest(F.lit(0.0), y)).alias("v"))
 
-    out = (hist.withColumn("_base", base)
-           .withColumn("_path", F.aggregate(F.sequence(F.lit(0), F.lit(horizon - 1)),
-                                            F.col("hist").cast("array<double>"), step))
+    init = F.struct(base.cast("array<double>").alias("b"), F.col("hist").cast("array<double>").alias("v"))
+    out = (hist.withColumn("_path", F.aggregate(F.sequence(F.lit(0), F.lit(horizon - 1)), init, step)["v"])
            .withColumn("_pred", F.slice("_path", -horizon, horizon))
            .select(key, "last_ts", F.posexplode("_pred").alias("step0", "predicted"), residual_std.alias("_rs")))
     ci = ci_half_width(F.col("step0"), F.col("_rs"))
@@ -230,6 +233,9 @@ def _solver(spec: AdditiveSpec):
 def fit_additive(train: DataFrame, spec: AdditiveSpec, y: str = "y", ts: str = "ds") -> DataFrame:
     """M2: one coefficient vector per ``model_key``; returns the model table
     (model_key, coef, t0, t1, n_train, y_scale, cps, lag_mu, lag_sd)."""
+    # The training frame feeds two passes (scaling statistics, then the sums);
+    # materialise it once instead of recomputing the hourly pipeline twice.
+    train = cut_lineage(train.select("model_key", ts, y, *spec.lag_cols))
     stats = _stats(train, spec, ts, y)
     x = (design(train, stats, spec, ts)
          .select("model_key", "x", (F.col(y) / F.col("y_scale")).alias("ys")))
