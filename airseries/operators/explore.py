@@ -47,6 +47,16 @@ def describe(df: DataFrame, cols, key: str = "location") -> DataFrame:
                     F.col("_q")[2].alias("p75"), "max"))
 
 
+def describe_categorical(df: DataFrame, cols, key: str = "location") -> DataFrame:
+    """A15 (all-columns variant): count, unique, top (most frequent; ties -> smallest value), freq."""
+    long = df.select(key, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot([key], list(cols), "measure", "value")
+    counts = long.where(F.col("value").isNotNull()).groupBy(key, "measure", "value").agg(F.count(F.lit(1)).alias("_c"))
+    return counts.groupBy(key, "measure").agg(
+        F.sum("_c").alias("count"), F.count(F.lit(1)).alias("unique"),
+        F.min_by("value", F.struct(-F.col("_c"), F.col("value"))).alias("top"),
+        F.max("_c").alias("freq"))
+
+
 def box_stats(df: DataFrame, col: str, by: str, key: str = "location") -> DataFrame:
     """Quartiles, 1.5 IQR fences, whiskers (extreme values inside the fences), outliers."""
     w = Window.partitionBy(key, by)

@@ -244,3 +244,19 @@ WITH {readings_cte()} SELECT value_type, CAST(count(*) AS BIGINT) AS n FROM r GR
 def readings_by_type(spark, sf_dir):
     """raw readings per value type."""
     return events_readings(spark, sf_dir).groupBy("value_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CAT_UNION = " UNION ALL ".join(
+    f"SELECT location, '{c}' AS measure, CAST({c} AS VARCHAR) AS value FROM f" for c in ["jour_semaine", "periode"])
+
+
+@register("describe_categorical", f"""
+WITH {FEAT}, u AS ({_CAT_UNION}),
+c AS (SELECT location, measure, value, count(*) AS cnt FROM u WHERE value IS NOT NULL GROUP BY 1, 2, 3)
+SELECT location, measure, CAST(sum(cnt) AS BIGINT) AS count, CAST(count(*) AS BIGINT) AS "unique",
+       arg_min(value, (-cnt, value)) AS top, CAST(max(cnt) AS BIGINT) AS freq
+FROM c GROUP BY location, measure
+""")
+def describe_categorical(spark, sf_dir):
+    """A15 (include='all'): count / unique / top / freq of the calendar labels."""
+    return X.describe_categorical(_feat(spark, sf_dir), ["jour_semaine", "periode"])

@@ -6,6 +6,7 @@ for the additive model."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from airseries.operators import hourly as H
 from airseries.operators import seasonal as S
@@ -62,7 +63,12 @@ def recursive_eval(spark, sf_dir):
     mr = rec.groupBy("location").agg(F.avg(F.abs(F.col("actual") - F.col("predicted"))).alias("mae_recursive"),
                                      F.count(F.lit(1)).alias("n_steps"))
     mo = S.error_metrics(one).select("location", F.col("mae").alias("mae_one_step"))
-    return mr.join(mo, "location").withColumn("ratio", F.col("mae_recursive") / F.col("mae_one_step"))
+    # One-step error over the last week (168 rows) of the test split.
+    k = F.row_number().over(Window.partitionBy("location").orderBy(F.col("timestamp").desc()))
+    lw = S.error_metrics(one.withColumn("_k", k).where(F.col("_k") <= 168).drop("_k")).select(
+        "location", F.col("mae").alias("mae_last_week"))
+    return (mr.join(mo, "location").join(lw, "location")
+            .withColumn("ratio", F.col("mae_recursive") / F.col("mae_one_step")))
 
 
 @register("gbt_importance")
