@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from airseries.operators import hourly as H
 from airseries.plans import q_core  # noqa: F401  (registers the oracle entries reused below)
-from airseries.plans.oracle import readings_cte
+from airseries.plans.oracle import hourly_chain, r6, readings_cte
 from airseries.plans.registry import ORACLE, register
 from airseries.session import scratch_path
 from airseries.sources import csv_raw
@@ -49,12 +49,17 @@ def stream_incremental(spark, sf_dir):
     return out.groupBy("location", "value_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("stream_hourly")
+@register("stream_hourly", f"""
+WITH {hourly_chain()}
+SELECT location, timestamp, {', '.join(r6(c, c) for c in ['P0', 'P1', 'P2', 'humidity', 'temperature'])} FROM h
+WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR
+""")
 def stream_hourly(spark, sf_dir):
-    """ST2: event-time hourly means with a 2-hour watermark (append mode)."""
+    """ST2: event-time hourly means with a 2-hour watermark (append mode): every hour
+    closed by the watermark equals the batch hourly series."""
     landing, sink, ckpt = _dirs(spark, "st2")
     _land(spark, sf_dir, landing, "part1")
-    ST.run_available_now(ST.hourly_stream(ST.ingest_stream(spark, landing, max_files_per_trigger=1)), sink, ckpt)
+    ST.run_available_now(ST.hourly_stream(ST.ingest_stream(spark, landing)), sink, ckpt)
     return spark.read.parquet(sink)
 
 
