@@ -27,9 +27,6 @@ from airseries.functions.constants import (
     TREND_BAND_PCT, TREND_LABELS,
 )
 
-HOUR = "INTERVAL 1 HOUR"
-
-
 # --------------------------------------------------------------- intervals
 def ci_half_width(step0: Column, residual_std: Column) -> Column:
     """1.96 * sigma * (1 + 0.04 * min(i, 100)), i from 0."""

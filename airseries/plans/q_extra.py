@@ -229,3 +229,15 @@ def model_reuse(spark, sf_dir):
     return second.select("model_key", "n_train", F.size("coef").alias("n_coef")) \
                  .withColumn("n_fits", F.lit(len(fits))).withColumn("same", F.lit(first.count() == second.count()))
 
+
+
+@register("explicit_locations", f"""
+WITH {readings_cte()},
+r2 AS (SELECT * FROM r WHERE location IN (1, 3, 5)),
+{pivot_cte(src='r2')}, {hourly_cte()}
+SELECT location, CAST(count(*) AS BIGINT) AS rows, min(timestamp) AS start, max(timestamp) AS "end" FROM h GROUP BY location
+""")
+def explicit_locations(spark, sf_dir):
+    """F16 + A29: an explicit location list instead of the eligibility rule."""
+    r = H.keep_eligible(events_readings(spark, sf_dir), locations=[1, 3, 5])
+    return H.manifest(H.hourly_wide(r))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airseries.sources import landing as L
-from airseries.plans.oracle import lineitem_readings_cte, pivot_cte, hourly_cte
+from airseries.plans.oracle import lineitem_readings_cte
 from airseries.plans.registry import register
 from airseries.sources.readings import table
 
