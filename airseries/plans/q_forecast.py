@@ -12,6 +12,7 @@ from airseries.operators.features import add_features, next_row_target
 from airseries.operators.filters import last_n_hours
 from airseries.plans.oracle import hourly_chain, r6
 from airseries.plans.registry import register
+from airseries.session import cut_lineage
 from airseries.sources.readings import events_readings, lineitem_wide_readings
 
 # Fixed coefficients of the SQL-checkable recursion (a test vehicle, not a fitted model).
@@ -92,15 +93,17 @@ def _model_series(spark, sf_dir):
     return H.hourly_wide(lineitem_wide_readings(spark, sf_dir), value_types=["P2", "temperature", "humidity"])
 
 
-def _training(spark, sf_dir, target="P2", extra=()):
-    """M1 frame with a per-location model key."""
+def _training(spark, sf_dir, target="P2", extra=(), feats=None):
+    """M1 frame with a per-location model key (``feats``: a precomputed feature table)."""
     lags = TARGET_LAGS[target]
-    t = next_row_target(add_features(_model_series(spark, sf_dir)), target, list(lags) + list(extra))
+    f = feats if feats is not None else add_features(_model_series(spark, sf_dir))
+    t = next_row_target(f, target, list(lags) + list(extra))
     return t.withColumn("model_key", F.concat(F.lit(target + "@"), F.col("location").cast("string")))
 
 
-def _holdout_fit(spark, sf_dir, spec, target="P2", extra=()):
-    t = S.holdout_last(_training(spark, sf_dir, target, extra), 168, ts="ds")
+def _holdout_fit(spark, sf_dir, spec, target="P2", extra=(), training=None):
+    t = training if training is not None else _training(spark, sf_dir, target, extra)
+    t = S.holdout_last(t, 168, ts="ds")
     model = FC.fit_additive(t.where(~F.col("is_test")), spec)
     test = FC.predict_additive(t.where("is_test"), model, spec)
     return model, test
@@ -171,10 +174,14 @@ def exog_variants(spark, sf_dir):
     naive = S.error_metrics(S.seasonal_naive(_model_series(spark, sf_dir), "P2")).select(
         "location", F.col("mae").alias("naive_mae"))
     out = None
+    # One feature table shared by the variants; each variant keeps its own
+    # complete-row filter and next-row target (M1 semantics per regressor set).
+    feats = cut_lineage(add_features(_model_series(spark, sf_dir)))
     for name, extra in [("temp_humidity", ["temperature", "humidity"]), ("temp", ["temperature"]),
                         ("humidity", ["humidity"])]:
         spec = FC.AdditiveSpec(TARGET_LAGS["P2"] + extra)
-        model, test = _holdout_fit(spark, sf_dir, spec, extra=extra)
+        training = _training(spark, sf_dir, extra=extra, feats=feats)
+        model, test = _holdout_fit(spark, sf_dir, spec, extra=extra, training=training)
         m = test.groupBy("location").agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("model_mae")) \
                 .withColumn("variant", F.lit(name))
         out = m if out is None else out.unionByName(m)
@@ -186,9 +193,10 @@ def exog_variants(spark, sf_dir):
 def fourier_variants(spark, sf_dir):
     """M8: daily order 10 / weekly order 15 vs the default 4 / 3."""
     out = None
+    training = cut_lineage(_training(spark, sf_dir))  # identical frame for both variants
     for name, (do, wo) in [("default", (4, 3)), ("high", (10, 15))]:
         spec = FC.AdditiveSpec(TARGET_LAGS["P2"], daily_order=do, weekly_order=wo)
-        _, test = _holdout_fit(spark, sf_dir, spec)
+        _, test = _holdout_fit(spark, sf_dir, spec, training=training)
         e = F.col("y") - F.col("yhat")
         m = test.groupBy("location").agg(F.avg(F.abs(e)).alias("mae"),
                                          F.sqrt(F.avg(F.pow(e, 2))).alias("rmse")).withColumn("variant", F.lit(name))
