@@ -63,8 +63,13 @@ def list_files(spark: SparkSession, paths, cutoff_year: int | None = None) -> Da
     return files
 
 
-def read_raw(spark: SparkSession, paths, cutoff_year: int | None = None, cutoff_ts: str | None = None) -> DataFrame:
-    """Read landing files into (location, sensor_id, sensor_type, timestamp, value_type, value, ord)."""
+def read_raw(spark: SparkSession, paths, cutoff_year: int | None = None, cutoff_ts: str | None = None,
+             observation=None) -> DataFrame:
+    """Read landing files into (location, sensor_id, sensor_type, timestamp, value_type, value, ord).
+
+    ``observation`` (a ``pyspark.sql.Observation``) receives ``lines`` and
+    ``dropped_lines`` once the result is computed (the original only warned).
+    """
     files = list_files(spark, paths, cutoff_year)
     heads = files.mapInPandas(_first_lines, "path string, header string").where(F.col("header").isNotNull())
     # Small: one row per file (what Spark's own file index holds on the driver).
@@ -87,17 +92,20 @@ def read_raw(spark: SparkSession, paths, cutoff_year: int | None = None, cutoff_
                               + [T.StructField("_extra", T.StringType())])
         df = (spark.read.option("sep", ";").option("header", True).option("mode", "PERMISSIVE")
               .option("ignoreCorruptFiles", True).schema(schema).csv(group_paths))
-        df = df.where(F.col("_extra").isNull())
         ord_ = F.struct(F.element_at(rank_map, F.col("_metadata.file_path")).alias("f"),
                         F.col("_metadata.file_block_start").alias("b"),
                         F.monotonically_increasing_id().alias("r"))
-        sel = [F.col(s).alias(c) for s, c in zip(safe, cols) if c in CANONICAL] + [ord_.alias("ord")]
+        sel = [F.col(s).alias(c) for s, c in zip(safe, cols) if c in CANONICAL] + [ord_.alias("ord"), "_extra"]
         parts.append(df.select(*sel))
     if not parts:
         raise FileNotFoundError(f"No readable CSV files under {paths}")
     raw = parts[0]
     for p in parts[1:]:
         raw = raw.unionByName(p, allowMissingColumns=True)
+    if observation is not None:
+        raw = raw.observe(observation, F.count(F.lit(1)).alias("lines"),
+                          F.count_if(F.col("_extra").isNotNull()).alias("dropped_lines"))
+    raw = raw.where(F.col("_extra").isNull()).drop("_extra")
     for c in CANONICAL:
         if c not in raw.columns:
             raw = raw.withColumn(c, F.lit(None).cast("string"))

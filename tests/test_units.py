@@ -237,7 +237,11 @@ def test_csv_reader_headers_bad_lines_and_pruning(spark):
         f.write("sensor_id;location;timestamp;value_type;value\n1;1;2023-12-01T00:00:00Z;P2;1\n")
     with open(os.path.join(d, "_meta.csv"), "w") as f:                         # hidden
         f.write("sensor_id;location;timestamp;value_type;value\n1;1;2024-12-01T00:00:00Z;P2;1\n")
-    r = csv_raw.read_raw(spark, d, cutoff_year=2024).orderBy("ord").collect()
+    from pyspark.sql import Observation
+    obs = Observation("landing")
+    r = csv_raw.read_raw(spark, d, cutoff_year=2024, observation=obs).collect()
+    assert obs.get == {"lines": 5, "dropped_lines": 1}
+    r = sorted(r, key=lambda x: (x["ord"]["f"], x["ord"]["b"], x["ord"]["r"]))
     assert len(r) == 4
     jan = [x for x in r if x["location"] == 3966]
     assert [x["value_type"] for x in jan] == ["P2", "P1"]
