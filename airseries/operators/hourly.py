@@ -43,6 +43,9 @@ def keep_eligible(readings: DataFrame, min_hours: int = MIN_HOURS,
     if locations is not None:
         return readings.where(F.col("location").isin([int(x) for x in locations]))
     keep = distinct_hours(readings).where(F.col("n_hours") >= F.lit(min_hours)).select("location")
+    # One row per location: AQE broadcasts it when its runtime size allows;
+    # otherwise the semi join is a sort-merge join whose skewed partitions
+    # (a location holding a third of the rows) AQE splits.
     return readings.join(keep, "location", "left_semi")
 
 
