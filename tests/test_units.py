@@ -260,3 +260,44 @@ def test_compiled_trees_equal_mllib(spark):
     got = m.transform(TR.assemble(df, ["a", "b"])).select(
         "prediction", TR.compile_gbt(m, [F.col("a"), F.col("b")]).alias("compiled")).collect()
     assert all(abs(r["prediction"] - r["compiled"]) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("n_days", [3, 10, 33, 40, 52, 60])
+def test_4weekly_kpi_matches_pandas_w_mon(spark, n_days):
+    rng = np.random.default_rng(100 + n_days)
+    start = dt.datetime(2024, 1, 3)   # a Wednesday
+    rows = []
+    for d in range(n_days):
+        if d % 9 == 4:
+            continue
+        for h in (0, 11, 23):
+            rows.append((1, start + dt.timedelta(days=d, hours=h), float(rng.integers(1, 80))))
+    df = spark.createDataFrame(rows, "location BIGINT, timestamp TIMESTAMP_NTZ, P2 DOUBLE")
+    got = K.calculate_kpis(df, "P2", "M").collect()
+    pdf = pd.DataFrame(rows, columns=["location", "timestamp", "P2"])
+    weekly = pdf.set_index("timestamp")["P2"].resample("W-MON").mean()
+    exp = _pandas_bucket_kpis(weekly, 4)
+    if exp is None:
+        assert got == []
+        return
+    g = got[0]
+    for c in ("min", "mean", "max", "min_delta", "mean_delta", "max_delta"):
+        if exp[c] is None:
+            assert g[c] is None, c
+        else:
+            assert g[c] == pytest.approx(exp[c]), c
+    last4 = weekly.tail(min(4, len(weekly))).index
+    assert g["period_label"] == f"{last4.min():%d/%m} - {last4.max():%d/%m}"
+
+
+def test_daily_kpi_matches_pandas(spark):
+    rng = np.random.default_rng(7)
+    rows = [(1, T0 + dt.timedelta(hours=h), float(rng.integers(0, 40))) for h in range(0, 24 * 5, 3)]
+    df = spark.createDataFrame(rows, "location BIGINT, timestamp TIMESTAMP_NTZ, P2 DOUBLE")
+    g = K.calculate_kpis(df, "P2", "D").collect()[0]
+    pdf = pd.DataFrame(rows, columns=["location", "timestamp", "P2"])
+    d = pdf["timestamp"].dt.date
+    last, prev = pdf[d == d.iloc[-1]]["P2"], pdf[d == d.iloc[-1] - dt.timedelta(days=1)]["P2"]
+    assert g["min"] == last.min() and g["max"] == last.max() and g["mean"] == pytest.approx(last.mean())
+    assert g["mean_delta"] == pytest.approx(last.mean() - prev.mean())
+    assert g["mean_delta_pct"] == pytest.approx((last.mean() - prev.mean()) / prev.mean() * 100)
