@@ -104,3 +104,20 @@ def landed_file_gate(spark, sf_dir):
     return (b.select("path", "length").join(ok, "path", "left")
             .select("path", "length", F.coalesce("valid", F.lit(False)).alias("valid")))
 
+
+
+@register("bucketed_series_lags", f"""
+WITH {hourly_chain()}
+SELECT location, timestamp, {r6('P2', 'P2')},
+       {r6('lag(P2, 1) OVER (PARTITION BY location ORDER BY timestamp)', 'P2_lag_1')},
+       {r6('lag(P2, 24) OVER (PARTITION BY location ORDER BY timestamp)', 'P2_lag_24')}
+FROM h
+""")
+def bucketed_series_lags(spark, sf_dir):
+    """SC9 (bucketed form): hourly series published bucketed by location; lag windows
+    over the table need no exchange."""
+    from airseries.operators.features import add_lags
+    name = f"airseries_hourly_{uuid.uuid4().hex[:12]}"
+    t = sinks.write_bucketed_series(H.hourly_wide(events_readings(spark, sf_dir)).select("location", "timestamp", "P2"),
+                                    name, _scratch(spark, "bucketed"), n_buckets=4)
+    return add_lags(t, ["P2"], [1, 24]).select("location", "timestamp", "P2", "P2_lag_1", "P2_lag_24")

@@ -67,3 +67,14 @@ def load_or_fit(spark: SparkSession, path: str, fit) -> DataFrame:
         df = fit()
         save_table(df, path)
         return spark.read.parquet(path)
+
+
+def write_bucketed_series(series: DataFrame, table: str, path: str, n_buckets: int,
+                          key: str = "location", ts: str = "timestamp") -> DataFrame:
+    """Publish the hourly series bucketed (and sorted) by location as an external
+    table, so every later per-location window or join reads co-located data
+    without an exchange.  ``n_buckets`` should follow the data size
+    (e.g. hourly volume / 128 MB), not the cluster size."""
+    (series.write.mode("overwrite").bucketBy(n_buckets, key).sortBy(key, ts)
+     .option("path", path).saveAsTable(table))
+    return series.sparkSession.table(table)

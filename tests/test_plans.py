@@ -37,3 +37,9 @@ def test_no_cartesian_products_anywhere(spark):
     for name in ("listing_classify", "missing_months", "forecast_fixed_coefs", "midpoint_pairs", "kpi_4weekly"):
         p = _plan(spark, name)
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_bucketed_series_windows_skip_the_exchange(spark):
+    p = _plan(spark, "bucketed_series_lags")
+    window_part = p.split("Window [")[1] if "Window [" in p else ""
+    assert "Window [" in p and "Exchange" not in window_part
