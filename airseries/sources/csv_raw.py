@@ -9,8 +9,8 @@
   group is read with its own column order and unioned by name.
 * Malformed lines: too many fields -> dropped, too few -> padded with NULL
   (pandas ``on_bad_lines="warn"``); unreadable files are skipped.
-* ``ord`` = (file rank in sorted file names, byte offset of the split, row in
-  split) gives file order for "first" semantics.
+* ``ord`` = (file rank in sorted file names, split offset, row in split)
+  packed into one BIGINT gives file order for "first" semantics.
 """
 
 from __future__ import annotations
@@ -76,10 +76,11 @@ def read_raw(spark: SparkSession, paths, cutoff_year: int | None = None, cutoff_
     groups: dict[str, list[str]] = {}
     for row in heads.collect():
         groups.setdefault(row["header"], []).append(row["path"])
-    # File order = sorted file names (then full path for equal names).
+    # File order = sorted file names (then full path for equal names).  The
+    # rank table has one row per listed file: the same list Spark's file index
+    # already keeps on the driver, so its size is known and it is broadcast.
     names = sorted((os.path.basename(p), p) for ps in groups.values() for p in ps)
-    rank = {p: i for i, (_, p) in enumerate(names)}
-    rank_map = F.create_map(*[x for n, i in rank.items() for x in (F.lit(n), F.lit(i))]) if rank else None
+    ranks = spark.createDataFrame([(p, i) for i, (_, p) in enumerate(names)], "_fp STRING, _rank LONG")
 
     parts = []
     for header, group_paths in groups.items():
@@ -92,11 +93,10 @@ def read_raw(spark: SparkSession, paths, cutoff_year: int | None = None, cutoff_
                               + [T.StructField("_extra", T.StringType())])
         df = (spark.read.option("sep", ";").option("header", True).option("mode", "PERMISSIVE")
               .option("ignoreCorruptFiles", True).schema(schema).csv(group_paths))
-        ord_ = F.struct(F.element_at(rank_map, F.col("_metadata.file_path")).alias("f"),
-                        F.col("_metadata.file_block_start").alias("b"),
-                        F.monotonically_increasing_id().alias("r"))
-        sel = [F.col(s).alias(c) for s, c in zip(safe, cols) if c in CANONICAL] + [ord_.alias("ord"), "_extra"]
-        parts.append(df.select(*sel))
+        sel = [F.col(s).alias(c) for s, c in zip(safe, cols) if c in CANONICAL]
+        parts.append(df.select(*sel, "_extra", F.col("_metadata.file_path").alias("_fp"),
+                               F.col("_metadata.file_block_start").alias("_bs"),
+                               F.monotonically_increasing_id().alias("_mid")))
     if not parts:
         raise FileNotFoundError(f"No readable CSV files under {paths}")
     raw = parts[0]
@@ -105,7 +105,15 @@ def read_raw(spark: SparkSession, paths, cutoff_year: int | None = None, cutoff_
     if observation is not None:
         raw = raw.observe(observation, F.count(F.lit(1)).alias("lines"),
                           F.count_if(F.col("_extra").isNotNull()).alias("dropped_lines"))
-    raw = raw.where(F.col("_extra").isNull()).drop("_extra")
+    raw = raw.where(F.col("_extra").isNull()).drop("_extra").join(F.broadcast(ranks), "_fp", "left")
+    # ord packs (file rank, split offset in MiB, row within the Spark partition)
+    # into one BIGINT: 20 + 19 + 24 bits (1M files, 512 GiB files, 16M rows per
+    # split).  Splits start at multiples of >= 4 MiB, so the MiB offset is
+    # unique per split; a fixed-width ord keeps the pivot a hash aggregation.
+    row = F.col("_mid").bitwiseAND(F.lit((1 << 24) - 1))
+    raw = raw.withColumn("ord", F.shiftleft(F.col("_rank"), 43)
+                         .bitwiseOR(F.shiftleft(F.shiftright(F.col("_bs"), 20), 24))
+                         .bitwiseOR(row)).drop("_fp", "_bs", "_mid", "_rank")
     for c in CANONICAL:
         if c not in raw.columns:
             raw = raw.withColumn(c, F.lit(None).cast("string"))
