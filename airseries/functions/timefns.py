@@ -61,9 +61,9 @@ def weekday_mon0(c) -> Column:
     return F.weekday(_col(c))
 
 
-def period_label(c, vocabulary: str = "pipeline") -> Column:
-    """X25: 'weekend' / 'semaine' (pipeline) or 'Week-end' / 'Semaine' (notebook)."""
-    weekend, weekday = WEEKEND_LABELS if vocabulary == "pipeline" else NOTEBOOK_WEEKEND_LABELS
+def period_label(c, vocabulary: str = "series") -> Column:
+    """X25: 'weekend' / 'semaine' (series) or 'Week-end' / 'Semaine' (notebook)."""
+    weekend, weekday = WEEKEND_LABELS if vocabulary == "series" else NOTEBOOK_WEEKEND_LABELS
     return F.when(F.weekday(_col(c)) >= 5, F.lit(weekend)).otherwise(F.lit(weekday))
 
 

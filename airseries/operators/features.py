@@ -76,7 +76,7 @@ def clean_temperature(df: DataFrame, col: str = "temperature", by: str = "locati
 
 
 def add_features(hourly: DataFrame, by: str = "location") -> DataFrame:
-    """The pipeline's feature step: calendar, sanitised temperature, 18 lags.
+    """The processing run's feature step: calendar, sanitised temperature, 18 lags.
 
     Lags (on P0/P1/P2) are added before the temperature interpolation so the
     ascending-order windows share one sort and only the reversed 'next known

@@ -231,7 +231,7 @@ def fit_additive(train: DataFrame, spec: AdditiveSpec, y: str = "y", ts: str = "
     """M2: one coefficient vector per ``model_key``; returns the model table
     (model_key, coef, t0, t1, n_train, y_scale, cps, lag_mu, lag_sd)."""
     # The training frame feeds two passes (scaling statistics, then the sums);
-    # materialise it once instead of recomputing the hourly pipeline twice.
+    # materialise it once instead of recomputing the hourly plan twice.
     train = cut_lineage(train.select("model_key", ts, y, *spec.lag_cols))
     stats = _stats(train, spec, ts, y)
     x = (design(train, stats, spec, ts)

@@ -32,7 +32,7 @@ WITH {hourly_chain()}, {features_cte()}
 SELECT location, timestamp, heure, jour_semaine, periode, {_ALL} FROM f
 """)
 def lags_all(spark, sf_dir):
-    """W1 + F11 + W3 + calendar: the pipeline's full feature table."""
+    """W1 + F11 + W3 + calendar: the processing run's full feature table."""
     return _feat(spark, sf_dir)
 
 
