@@ -241,3 +241,21 @@ def explicit_locations(spark, sf_dir):
     """F16 + A29: an explicit location list instead of the eligibility rule."""
     r = H.keep_eligible(events_readings(spark, sf_dir), locations=[1, 3, 5])
     return H.manifest(H.hourly_wide(r))
+
+
+@register("dashboard_range_weekdays", f"""
+WITH {hourly_chain()}, {features_cte()},
+t AS (SELECT location, avg(P1) AS mean, min(P1) AS mn, max(P1) AS mxv FROM f
+      WHERE timestamp >= TIMESTAMP '2024-01-08 00:00:00' AND timestamp <= TIMESTAMP '2024-01-21 00:00:00' + INTERVAL 1 DAY
+        AND periode = 'semaine'
+      GROUP BY location)
+SELECT location, {r6('mean', 'mean')}, {r6('mn', 'min')}, {r6('mxv', 'max')}, {aqi_sql('mean', 'PM10')} AS aqi,
+       {aqi_category_sql(aqi_sql('mean', 'PM10'), 'label')} AS label,
+       {aqi_category_sql(aqi_sql('mean', 'PM10'), 'color')} AS color,
+       mean > 45 AS exceeds, CAST(45 AS DOUBLE) AS threshold FROM t
+""")
+def dashboard_range_weekdays(spark, sf_dir):
+    """Entry B with a custom date range and weekdays only (F8 + F9 + A9 + X18 + X24), PM10."""
+    series = add_features(_hourly(spark, sf_dir))
+    return D.current_tiles(series, "PM10", hours=None, day_kind="weekday",
+                           date_from="2024-01-08", date_to="2024-01-21")
