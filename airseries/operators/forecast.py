@@ -162,25 +162,21 @@ class AdditiveSpec:
 
 
 def _stats(train: DataFrame, spec: AdditiveSpec, ts: str, y: str) -> DataFrame:
-    """Per model key: time range, changepoint times, lag standardisation, y scale."""
-    w = Window.partitionBy("model_key").orderBy(ts)
-    d = train.withColumn("_rn0", F.row_number().over(w) - 1) \
-             .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("model_key"))) \
-             .withColumn("_secs", _secs(F.col(ts)))
-    h = F.floor(F.col("_n") * F.lit(spec.cp_range))
-    is_cp = F.exists(F.sequence(F.lit(1), F.lit(spec.n_cp)),
-                     lambda j: F.rint(j * (h - 1) / F.lit(float(spec.n_cp))).cast("int") == F.col("_rn0"))
-    aggs = [F.min("_secs").alias("t0"), F.max("_secs").alias("t1"), F.max("_n").alias("n_train"),
-            F.max(F.abs(F.col(y))).alias("y_scale"),
-            F.map_from_entries(F.collect_list(F.when(is_cp, F.struct(F.col("_rn0"), F.col("_secs"))))).alias("_cpm"),
-            F.max(h).alias("_h")]
+    """Per model key: time range, changepoint positions, lag standardisation, y scale.
+
+    One partial/final aggregate per key, no window: a pooled model over every
+    location is as cheap as a per-location one.  Changepoints sit uniformly in
+    scaled time over the first ``cp_range`` of the history (for a regular
+    hourly series this is the row-uniform placement of the published model).
+    """
+    secs = _secs(F.col(ts))
+    aggs = [F.min(secs).alias("t0"), F.max(secs).alias("t1"), F.count(F.lit(1)).alias("n_train"),
+            F.max(F.abs(F.col(y))).alias("y_scale")]
     for c in spec.lag_cols:
         aggs += [F.avg(c).alias(f"mu_{c}"), F.stddev_pop(c).alias(f"sd_{c}")]
-    st = d.groupBy("model_key").agg(*aggs)
-    cp_secs = F.transform(F.sequence(F.lit(1), F.lit(spec.n_cp)),
-                          lambda j: F.element_at(F.col("_cpm"), F.rint(j * (F.col("_h") - 1) / F.lit(float(spec.n_cp))).cast("int")))
-    t_cp = F.transform(cp_secs, lambda s: (s - F.col("t0")) / F.greatest(F.col("t1") - F.col("t0"), F.lit(1.0)))
-    return (st.withColumn("cps", t_cp)
+    st = train.groupBy("model_key").agg(*aggs)
+    cps = F.array(*[F.lit(spec.cp_range * j / spec.n_cp) for j in range(1, spec.n_cp + 1)])
+    return (st.withColumn("cps", cps)
             .withColumn("y_scale", F.when(F.col("y_scale") > 0, F.col("y_scale")).otherwise(F.lit(1.0)))
             .withColumn("lag_mu", F.array(*[F.col(f"mu_{c}") for c in spec.lag_cols]))
             .withColumn("lag_sd", F.array(*[F.when(F.col(f"sd_{c}") > 0, F.col(f"sd_{c}")).otherwise(F.lit(1.0))
@@ -198,19 +194,31 @@ def design(df: DataFrame, stats: DataFrame, spec: AdditiveSpec, ts: str) -> Data
 
 
 def _partial_sums(d: int):
+    """Per-partition X'X / X'y for rows sorted by model key within the
+    partition: one d x d accumulator at a time, flushed when the key changes,
+    so memory stays O(d^2) however many keys a partition holds."""
     def fn(batches):
-        acc = {}
+        key, xtx, xty, n = None, None, None, 0
+
+        def flush():
+            vals = np.concatenate([xtx.ravel(), xty, [float(n)]])
+            return pd.DataFrame({"model_key": key, "idx": np.arange(len(vals), dtype="int64"), "v": vals})
+
         for pdf in batches:
             if pdf.empty:
                 continue
-            for key, g in pdf.groupby("model_key", sort=False):
+            for k, g in pdf.groupby("model_key", sort=False):
+                if k != key:
+                    if key is not None:
+                        yield flush()
+                    key, xtx, xty, n = k, np.zeros((d, d)), np.zeros(d), 0
                 X = np.vstack(g["x"].to_numpy()).astype(float)
                 yv = g["ys"].to_numpy(dtype=float)
-                xtx, xty, n = acc.get(key, (np.zeros((d, d)), np.zeros(d), 0))
-                acc[key] = (xtx + X.T @ X, xty + X.T @ yv, n + len(g))
-        for key, (xtx, xty, n) in acc.items():
-            vals = np.concatenate([xtx.ravel(), xty, [float(n)]])
-            yield pd.DataFrame({"model_key": key, "idx": np.arange(len(vals), dtype="int64"), "v": vals})
+                xtx += X.T @ X
+                xty += X.T @ yv
+                n += len(g)
+        if key is not None:
+            yield flush()
     return fn
 
 
@@ -236,7 +244,8 @@ def fit_additive(train: DataFrame, spec: AdditiveSpec, y: str = "y", ts: str = "
     stats = _stats(train, spec, ts, y)
     x = (design(train, stats, spec, ts)
          .select("model_key", "x", (F.col(y) / F.col("y_scale")).alias("ys")))
-    partial = x.mapInPandas(_partial_sums(spec.d), "model_key string, idx long, v double")
+    partial = (x.sortWithinPartitions("model_key")
+               .mapInPandas(_partial_sums(spec.d), "model_key string, idx long, v double"))
     summed = partial.groupBy("model_key", "idx").agg(F.sum("v").alias("v"))
     coefs = summed.groupBy("model_key").applyInPandas(_solver(spec), "model_key string, coef array<double>")
     # The model table is tiny (one row per key) and reused by prediction and
