@@ -60,10 +60,24 @@ def fit_gbt(train: DataFrame, features, label: str = "P2", **params):
     return gbt.fit(assemble(train.where(F.col(label).isNotNull()), features))
 
 
-def one_step_eval(series: DataFrame, features, label: str = "P2", **params):
+def fit_or_load_gbt(train: DataFrame, features, label: str, model_path: str | None, **params):
+    """M15 for trees: reuse the model saved at ``model_path`` when present, else fit and save it."""
+    from pyspark.ml.regression import GBTRegressionModel
+    if model_path:
+        try:
+            return GBTRegressionModel.load(model_path)
+        except Exception:  # absent -> fit
+            pass
+    model = fit_gbt(train, features, label, **params)
+    if model_path:
+        model.write().overwrite().save(model_path)
+    return model
+
+
+def one_step_eval(series: DataFrame, features, label: str = "P2", model_path: str | None = None, **params):
     """Fit on every location's first 80 %, score the last 20 % with true lags."""
     s = split_80_20(series)
-    model = fit_gbt(s.where("is_train"), features, label, **params)
+    model = fit_or_load_gbt(s.where("is_train"), features, label, model_path, **params)
     pred = model.transform(assemble(s.where(~F.col("is_train")).where(F.col(label).isNotNull()), features))
     return model, pred.select("location", "timestamp", F.col(label).alias("actual"),
                               F.col("prediction").alias("predicted"))

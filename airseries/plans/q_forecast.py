@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from airseries.functions.constants import TARGET_LAGS
@@ -12,7 +14,8 @@ from airseries.operators.features import add_features, next_row_target
 from airseries.operators.filters import last_n_hours
 from airseries.plans.oracle import hourly_chain, r6
 from airseries.plans.registry import register
-from airseries.session import cut_lineage
+from airseries.session import cut_lineage, scratch_path
+from airseries.sources import sinks
 from airseries.sources.readings import events_readings, lineitem_wide_readings
 
 # Fixed coefficients of the SQL-checkable recursion (a test vehicle, not a fitted model).
@@ -101,10 +104,19 @@ def _training(spark, sf_dir, target="P2", extra=(), feats=None):
     return t.withColumn("model_key", F.concat(F.lit(target + "@"), F.col("location").cast("string")))
 
 
-def _holdout_fit(spark, sf_dir, spec, target="P2", extra=(), training=None):
+def _holdout_fit(spark, sf_dir, spec, target="P2", extra=(), training=None, reuse_as=None):
+    """Fit on all but the last 168 rows of every series, score those rows.
+
+    ``reuse_as`` names a session-scoped saved model (M15): a later query with
+    the same name reuses it instead of refitting."""
     t = training if training is not None else _training(spark, sf_dir, target, extra)
     t = S.holdout_last(t, 168, ts="ds")
-    model = FC.fit_additive(t.where(~F.col("is_test")), spec)
+    fit = lambda: FC.fit_additive(t.where(~F.col("is_test")), spec)
+    if reuse_as:
+        path = scratch_path(spark, f"additive-{reuse_as}-{hashlib.sha1(sf_dir.encode()).hexdigest()[:10]}")
+        model = sinks.load_or_fit(spark, path, fit)
+    else:
+        model = fit()
     test = FC.predict_additive(t.where("is_test"), model, spec)
     return model, test
 
@@ -129,7 +141,7 @@ def _metrics(test, spec, model):
 def additive_fit(spark, sf_dir):
     """M1 + M2 + M3 + M16 + X27: per-location additive model, last-168 hold-out metrics record."""
     spec = FC.AdditiveSpec(TARGET_LAGS["P2"])
-    model, test = _holdout_fit(spark, sf_dir, spec)
+    model, test = _holdout_fit(spark, sf_dir, spec, reuse_as="p2-default")
     return _metrics(test, spec, model)
 
 
@@ -145,7 +157,7 @@ def importance(spark, sf_dir):
 def forecast_24h(spark, sf_dir):
     """M4 + M15: per-location model, 24-step recursive forecast with intervals."""
     spec = FC.AdditiveSpec(TARGET_LAGS["P2"])
-    model, test = _holdout_fit(spark, sf_dir, spec)
+    model, test = _holdout_fit(spark, sf_dir, spec, reuse_as="p2-default")
     err = test.groupBy("model_key").agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"),
                                         F.stddev_pop(F.col("y") - F.col("yhat")).alias("rstd"))
     hist = FC.history_arrays(_model_series(spark, sf_dir), "P2", max(50, 24)) \

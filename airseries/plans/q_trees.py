@@ -12,7 +12,9 @@ from airseries.operators import hourly as H
 from airseries.operators import seasonal as S
 from airseries.operators import trees as TR
 from airseries.plans.registry import register
-from airseries.session import cut_lineage
+import hashlib
+
+from airseries.session import cut_lineage, scratch_path
 from airseries.sources.readings import lineitem_wide_readings
 
 LAGS5 = [f"P2_lag_{n}" for n in TR.NOTEBOOK_LAGS]
@@ -20,6 +22,11 @@ ALL_FEATS = ["humidity", "temperature", "heure", "jour_semaine_num", "periode_nu
 REC_FEATS = LAGS5 + ["heure", "jour_semaine_num"]
 
 
+def _model_path(spark, sf_dir, name):
+    """Session-scoped location of a saved model (M15: reuse when already fitted)."""
+    return scratch_path(spark, f"gbt-{name}-{hashlib.sha1(sf_dir.encode()).hexdigest()[:10]}")
+
+
 def _series(spark, sf_dir):
     h = H.hourly_wide(lineitem_wide_readings(spark, sf_dir), value_types=["P2", "temperature", "humidity"])
     return TR.tree_features(h)
@@ -36,7 +43,8 @@ def _with_baseline(spark, sf_dir, pred, name):
 @register("gbt_lags")
 def gbt_lags(spark, sf_dir):
     """M9 + A33: 100 trees, depth 3, seed 42 on the five P2 lags; MAE vs seasonal naive."""
-    _, pred = TR.one_step_eval(_series(spark, sf_dir), LAGS5, maxIter=100, maxDepth=3)
+    _, pred = TR.one_step_eval(_series(spark, sf_dir), LAGS5, model_path=_model_path(spark, sf_dir, "lags"),
+                               maxIter=100, maxDepth=3)
     return _with_baseline(spark, sf_dir, pred, "gbt_lags")
 
 
@@ -74,5 +82,6 @@ def recursive_eval(spark, sf_dir):
 @register("gbt_importance")
 def gbt_importance(spark, sf_dir):
     """Feature importances of the lag model."""
-    model, _ = TR.one_step_eval(_series(spark, sf_dir), LAGS5, maxIter=100, maxDepth=3)
+    model, _ = TR.one_step_eval(_series(spark, sf_dir), LAGS5, model_path=_model_path(spark, sf_dir, "lags"),
+                                maxIter=100, maxDepth=3)
     return TR.gbt_importance(model, LAGS5)
