@@ -64,7 +64,7 @@ _LISTING = """listing AS (SELECT 'res-' || CAST(page_id AS VARCHAR) AS id,
     '2025-01-15' AS metadata_modified, page_id FROM pages),
 csv AS (SELECT * FROM listing WHERE upper(coalesce(format, '')) = 'CSV')"""
 _NAMED = f"""sem AS (SELECT *, {_SEM} AS semantic, {_URLF} AS url_filename FROM csv WHERE coalesce(url, '') <> ''),
-ordn AS (SELECT *, row_number() OVER (PARTITION BY semantic ORDER BY position, id) AS ordinal FROM sem),
+ordn AS (SELECT *, CASE WHEN semantic <> '' THEN row_number() OVER (PARTITION BY semantic ORDER BY position, id) END AS ordinal FROM sem),
 named AS (SELECT *, CASE WHEN semantic <> '' THEN
       (CASE WHEN ordinal > 1 THEN replace(semantic, '.csv', '_' || CAST(ordinal AS VARCHAR) || '.csv') ELSE semantic END)
     WHEN url_filename LIKE '%.csv' THEN url_filename ELSE coalesce(id, '') || '.csv' END AS filename FROM ordn)"""

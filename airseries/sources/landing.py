@@ -66,8 +66,12 @@ def assign_filenames(res: DataFrame, order: str = "position") -> DataFrame:
     Resources without URL are skipped, as in the original loop."""
     r = res.where(F.coalesce(F.col("url"), F.lit("")) != F.lit(""))
     r = r.withColumn("semantic", semantic_filename(F.coalesce(F.col("name"), F.lit("unknown"))))
+    # Ordinals only matter for non-empty names; resources with an empty name
+    # (possibly many) skip the window instead of forming one large partition.
     w = Window.partitionBy("semantic").orderBy(order, "id")
-    r = r.withColumn("ordinal", F.row_number().over(w))
+    named_part = r.where(F.col("semantic") != F.lit("")).withColumn("ordinal", F.row_number().over(w))
+    empty_part = r.where(F.col("semantic") == F.lit("")).withColumn("ordinal", F.lit(None).cast("int"))
+    r = named_part.unionByName(empty_part)
     url_file = filename_from_url("url")
     named = F.when(F.col("ordinal") > 1,
                    F.replace(F.col("semantic"), F.lit(".csv"), F.concat(F.lit("_"), F.col("ordinal").cast("string"),
