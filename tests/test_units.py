@@ -316,3 +316,41 @@ def test_additive_fit_recovers_a_linear_signal_per_key(spark):
     pred = FC.predict_additive(df, model, spec)
     err = pred.groupBy("model_key").agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae")).collect()
     assert len(err) == 2 and all(r["mae"] < 0.1 for r in err), err
+
+
+def test_file_names_and_classification_match_a_python_loop(spark):
+    res = [("r1", "August 2023", "http://h/a/tmp1.csv", "CSV", 0, "2024-01-01", ""),
+           ("r2", "August 2023", "http://h/a/tmp2.csv", "csv", 1, "", "2024-02-01"),
+           ("r3", "###", "http://h/a/data.csv", "CSV", 2, "2024-03-01", ""),
+           ("r4", "###", "http://h/a/blob", "CSV", 3, "2024-04-01", ""),
+           ("r5", "March 2024", "http://h/a/tmp5.csv", "CSV", 4, "2024-05-02", ""),
+           ("r6", "No url", "", "CSV", 5, "x", "")]
+    df = spark.createDataFrame(res, L.LISTING_SCHEMA)
+    state = spark.createDataFrame([("r1", "2024-01-01"), ("r5", "2024-05-01")], "resource_id STRING, last_modified STRING")
+    files = spark.createDataFrame([("august_2023.csv",), ("march_2024.csv",), ("tmp2.csv",)], "filename STRING")
+    got = {r["id"]: (r["filename"], r["action"]) for r in L.classify(df, state, files).collect()}
+    # brute force of the original loop
+    max_pos = max(r[4] for r in res)
+    meta = {"r1": "2024-01-01", "r5": "2024-05-01"}
+    present = {"august_2023.csv", "march_2024.csv", "tmp2.csv"}
+    seen, exp = {}, {}
+    for rid, name, url, fmt, pos, lm, mm in res:
+        if not url:
+            continue
+        url_file = url.rsplit("/", 1)[-1]
+        sem = brute_semantic(name)
+        if sem:
+            seen[sem] = seen.get(sem, 0) + 1
+            fname = sem.replace(".csv", f"_{seen[sem]}.csv") if seen[sem] > 1 else sem
+        elif url_file.endswith(".csv"):
+            fname = url_file
+        else:
+            fname = f"{rid}.csv"
+        if url_file != fname and url_file in present and fname not in present:
+            present.add(fname)
+        server = lm or mm or ""
+        if fname in present:
+            exp[rid] = (fname, "updated" if pos >= max_pos - 1 and meta.get(rid) != server else "exists")
+        else:
+            exp[rid] = (fname, "new")
+    assert got == exp
