@@ -127,8 +127,7 @@ def ts_folds(spark, sf_dir):
         F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
 
 
-@register("acf_48", f"""
-WITH {hourly_chain()},
+_ACF_CTES = f"""{hourly_chain()},
 x AS (SELECT location, P2 - avg(P2) OVER (PARTITION BY location) AS c,
              row_number() OVER (PARTITION BY location ORDER BY timestamp) AS rn FROM h WHERE P2 IS NOT NULL),
 nn AS (SELECT location, count(*) AS n FROM x GROUP BY location),
@@ -138,7 +137,28 @@ full_ AS (SELECT nn.location, k.lag, nn.n, coalesce(sk.s, 0) AS s FROM nn CROSS
           LEFT JOIN sk ON sk.location = nn.location AND sk.lag = k.lag),
 a AS (SELECT location, lag, n, s / first_value(s) OVER (PARTITION BY location ORDER BY lag) AS acf FROM full_),
 b AS (SELECT *, coalesce(sum(CASE WHEN lag >= 1 THEN acf * acf ELSE 0 END) OVER
-        (PARTITION BY location ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM a)
+        (PARTITION BY location ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM a)"""
+
+# Levinson-Durbin as a recursive CTE over each location's ACF list (r[1] = lag 0).
+_LD_A = "((r[k+2] - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[k+2-i]))) / sigma)"
+_PACF_SQL = f"""
+WITH RECURSIVE {_ACF_CTES},
+rl AS (SELECT location, list(acf ORDER BY lag) AS r, any_value(n) AS n FROM b GROUP BY location),
+ld(location, k, phi, sigma, pk, r, n) AS (
+  SELECT location, 1, [r[2] / r[1]], r[1] * (1 - (r[2] / r[1]) * (r[2] / r[1])), r[2] / r[1], r, n FROM rl
+  UNION ALL
+  SELECT location, k + 1,
+         list_append(list_transform(range(1, k + 1), lambda j: phi[j] - {_LD_A} * phi[k+1-j]), {_LD_A}),
+         sigma * (1 - {_LD_A} * {_LD_A}), {_LD_A}, r, n
+  FROM ld WHERE k < len(r) - 1)
+SELECT location, CAST(0 AS BIGINT) AS lag, CAST(1.0 AS DOUBLE) AS pacf, CAST(0.0 AS DOUBLE) AS band FROM rl
+UNION ALL
+SELECT location, CAST(k AS BIGINT) AS lag, {r6('pk', 'pacf')}, {r6('1.96 / sqrt(n)', 'band')} FROM ld
+"""
+
+
+@register("acf_48", f"""
+WITH {_ACF_CTES}
 SELECT location, CAST(lag AS BIGINT) AS lag, {r6('acf', 'acf')},
        {r6('CASE WHEN lag = 0 THEN 0 ELSE 1.96 * sqrt((1 + 2 * cum) / n) END', 'band')}, CAST(n AS BIGINT) AS n
 FROM b
@@ -148,7 +168,7 @@ def acf_48(spark, sf_dir):
     return S.acf(_hourly(spark, sf_dir), "P2", 48)
 
 
-@register("pacf_48")
+@register("pacf_48", _PACF_SQL)
 def pacf_48(spark, sf_dir):
     """Partial autocorrelation (Levinson-Durbin per location on the ACF table)."""
     return S.pacf(S.acf(_hourly(spark, sf_dir), "P2", 48))
