@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from airseries.functions.timefns import day_name, hour_of_day, period_label
 from airseries.operators.seasonal import split_80_20
+from airseries.session import cut_lineage
 
 # FIXED VALUES: day name -> number (Monday first), period -> code.
 DAY_MAP = {"Monday": 0, "Tuesday": 1, "Wednesday": 2, "Thursday": 3, "Friday": 4, "Saturday": 5, "Sunday": 6}
@@ -93,6 +94,8 @@ def grid_search(series: DataFrame, features, label: str = "P2", grid=PARAM_GRID,
     s = s.withColumn("rn", F.row_number().over(Window.partitionBy("location").orderBy("timestamp"))) \
          .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("location"))) \
          .withColumn("_tsz", F.floor(F.col("n") / F.lit(n_splits + 1)))
+    # Every fit reads the fold table: materialise it once in the shared checkpoint folder.
+    s = cut_lineage(s)
     names = list(grid)
     combos = [dict(zip(names, vals)) for vals in product(*[grid[k] for k in names])]
     spark = series.sparkSession
