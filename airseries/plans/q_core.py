@@ -174,13 +174,14 @@ def aqi_points(spark, sf_dir):
             .withColumn("label", aqi_category("aqi").getField("label")))
 
 
-_SNAP_SQL = f"""
+def _snap_sql(col: str, substance: str) -> str:
+    return f"""
 WITH {hourly_chain()},
-c AS (SELECT location, timestamp, P2, max(timestamp) OVER (PARTITION BY location) AS mx,
+c AS (SELECT location, timestamp, {col} AS v, max(timestamp) OVER (PARTITION BY location) AS mx,
              count(*) OVER (PARTITION BY location) AS n FROM h),
-m AS (SELECT location, avg(P2) AS mean_value FROM c
+m AS (SELECT location, avg(v) AS mean_value FROM c
       WHERE n >= 24 AND timestamp >= mx - INTERVAL 24 HOUR GROUP BY location),
-j AS (SELECT m.location, dim.name, dim.lat, dim.lon, {aqi_sql('m.mean_value', 'PM2.5')} AS aqi
+j AS (SELECT m.location, dim.name, dim.lat, dim.lon, {aqi_sql('m.mean_value', substance)} AS aqi
       FROM m JOIN {dim_values_sql()} ON m.location = dim.location)
 SELECT location AS loc_id, name, round(lat, 6) AS lat, round(lon, 6) AS lon, aqi,
        {aqi_category_sql('aqi', 'label')} AS label, {aqi_category_sql('aqi', 'color')} AS color
@@ -188,6 +189,9 @@ FROM j
 """
 
 
+_SNAP_SQL = _snap_sql("P2", "PM2.5")
+
+
 @register("aqi_snapshot", _SNAP_SQL)
 def aqi_snapshot_q(spark, sf_dir):
     """A36 (flagship): AQI of the last-24 h mean for every known location."""
@@ -208,3 +212,9 @@ def guideline_exceedance(spark, sf_dir):
     return d.select("location", "day", "pm25", "pm10",
                     who_exceedance("pm25", "PM2.5").alias("pm25_exceeds"),
                     who_exceedance("pm10", "PM10").alias("pm10_exceeds"))
+
+
+@register("aqi_snapshot_pm10", _snap_sql("P1", "PM10"))
+def aqi_snapshot_pm10(spark, sf_dir):
+    """A36 for PM10 (P1, PM10 bands): AQI of the last-24 h mean for every known location."""
+    return aqi_snapshot(_hourly(spark, sf_dir), fixture_dim(spark), "PM10")

@@ -60,7 +60,9 @@ def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("timestamp_ntz").alias("timestamp"),
         F.lit("P2").alias("value_type"),
         F.col("l_quantity").cast("string").alias("value"),
-        # (orderkey, linenumber, partkey, suppkey) is the unique row key.
+        # (orderkey, linenumber, partkey, suppkey) is the unique row key; the
+        # packing fits BIGINT for the fixture scales (real landing files get
+        # their file-order key from csv_raw instead).
         (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + F.col("l_partkey")) * 4096
          + F.col("l_suppkey")).cast("bigint").alias("ord"),
     )
