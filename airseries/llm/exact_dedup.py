@@ -29,11 +29,6 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE_CLASS, "")
 
 
-def _surviving(keys: DataFrame, by: list[str]) -> DataFrame:
-    """Keys of ``by`` that two or more rows share."""
-    return keys.groupBy(*by).agg(F.sum("copies").alias("n")).where("n > 1").select(*by)
-
-
 def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            digest_all: bool = False) -> DataFrame:
     """One row per document: doc_id, n_cp, norm_len, prefix_hash, sha, copies.
@@ -53,10 +48,13 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         *([sha.alias("sha")] if digest_all else []))
     keys = written(keys.groupBy(*cols).agg(F.count("*").alias("copies")), "dedup-keys")
 
-    by_len = ["norm_len"]
+    # The levels count groups, not rows: a hot group is one row for each task.
     by_prefix = ["norm_len", "prefix_hash"]
-    level1 = keys.join(_surviving(keys, by_len), by_len, "left_semi")
-    level2 = written(level1.join(_surviving(level1, by_prefix), by_prefix, "left_semi"), "dedup-level2")
+    groups = written(keys.groupBy(*by_prefix).agg(F.sum("copies").alias("n")), "dedup-prefixes")
+    lengths = groups.groupBy("norm_len").agg(F.sum("n").alias("of_len")).where("of_len > 1")
+    survivors = written(groups.join(lengths, ["norm_len"], "left_semi").where("n > 1").select(*by_prefix),
+                        "dedup-survivors")
+    level2 = written(keys.join(survivors, by_prefix, "left_semi"), "dedup-level2")
     if digest_all:
         full = level2
     else:
@@ -68,8 +66,8 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.xxhash64(F.substring("norm", 1, PREFIX)).alias("prefix_hash"), sha.alias("sha"))
         again = again.groupBy("doc_id", "n_cp", *by_prefix, "sha").agg(F.count("*").alias("copies"))
         # An id's other texts may have been single at the earlier levels; those come from `rest`.
-        full = again.join(level2.select(*by_prefix).distinct(), by_prefix, "left_semi")
-    rest = keys.join(level2.select(*by_prefix).distinct(), by_prefix, "left_anti")
+        full = again.join(survivors, by_prefix, "left_semi")
+    rest = keys.join(survivors, by_prefix, "left_anti")
     if not digest_all:
         rest = rest.withColumn("sha", F.lit(None).cast("binary"))
     order = ["doc_id", "n_cp", "norm_len", "prefix_hash", "sha", "copies"]
