@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airseries.llm import exact_dedup, packing, url_filter
+from airseries.llm import exact_dedup, packing, simhash_bk, url_filter
 from airseries.llm.common import ready
 
 _MODULES = {
     "op1_best_fit_packing": packing,
+    "op4_simhash_near_dedup": simhash_bk,
     "op8_exact_dedup": exact_dedup,
     "op9_url_filter": url_filter,
 }
