@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airseries.llm import exact_dedup, packing, simhash_bk, url_filter
+from airseries.llm import exact_dedup, packing, quality_qda, quality_rules, simhash_bk, url_filter
 from airseries.llm.common import ready
 
 _MODULES = {
     "op1_best_fit_packing": packing,
+    "op3_quality_rules": quality_rules,
     "op4_simhash_near_dedup": simhash_bk,
     "op8_exact_dedup": exact_dedup,
     "op9_url_filter": url_filter,
+    "op10_quality_classifier": quality_qda,
 }
 
 ORACLE: dict[str, str] = {name: m.ORACLE for name, m in _MODULES.items() if hasattr(m, "ORACLE")}
