@@ -5,7 +5,8 @@ rules fail a document of fewer than 20 words or with over 30 % of its words in
 repeated 8-word windows. For the others an isolation forest judges ratios
 that do not depend on length (word length, symbols, capitals, exclamation marks,
 words that repeat the one before, bars): documents that random splits separate early are
-anomalous. The forest is fitted on a bounded sample of labelled documents; the
+anomalous. The forest is fitted on a bounded sample of labelled documents (those that fail
+the base rules included: more kinds of anomaly to split off); the
 threshold is calibrated on all labelled documents that pass the base rules, as
 the cut with the least cost, where rejecting a good document weighs ``good_cost``
 times as much as keeping a bad one.
@@ -93,12 +94,12 @@ def best_cut(histogram: list, good_cost: float) -> float:
 
 def fit(stats: DataFrame, labels: DataFrame, good_cost: float = 10.0) -> tuple[IsolationForest | None, float]:
     """Forest and threshold from a written table of statistics."""
-    judged = written(stats.where(~base_failed()).join(one_label(labels), "doc_id"), "rules-labelled")
-    sample = judged.orderBy(F.xxhash64("doc_id"), *text_stats.COUNTS).limit(SAMPLE).select(*text_stats.COUNTS).toPandas()
+    labelled = written(stats.join(one_label(labels), "doc_id"), "rules-labelled")
+    sample = labelled.orderBy(F.xxhash64("doc_id"), *text_stats.COUNTS).limit(SAMPLE).select(*text_stats.COUNTS).toPandas()
     if not len(sample):
         return None, 2.0
     forest = IsolationForest.fit(_matrix(sample))
-    binned = judged.select(F.floor(anomaly(forest)() * BINS).cast("int").alias("bin"),
+    binned = labelled.where(~base_failed()).select(F.floor(anomaly(forest)() * BINS).cast("int").alias("bin"),
                            (F.col("label") > 0).cast("int").alias("label"))
     return forest, best_cut([tuple(r) for r in binned.groupBy("bin", "label").count().collect()], good_cost)
 
