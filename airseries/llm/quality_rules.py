@@ -95,7 +95,11 @@ def best_cut(histogram: list, good_cost: float) -> float:
 def fit(stats: DataFrame, labels: DataFrame, good_cost: float = 10.0) -> tuple[IsolationForest | None, float]:
     """Forest and threshold from a written table of statistics."""
     labelled = written(stats.join(one_label(labels), "doc_id"), "rules-labelled")
-    sample = labelled.orderBy(F.xxhash64("doc_id"), *text_stats.COUNTS).limit(SAMPLE).select(*text_stats.COUNTS).toPandas()
+    # Thinned by hash before it is ordered, so that no task sends more than its share to the driver.
+    share = min(1.0, 1.2 * SAMPLE / max(labelled.count(), 1))
+    order = F.xxhash64("doc_id", *text_stats.COUNTS)
+    thinned = labelled.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = thinned.orderBy(order).limit(SAMPLE).select(*text_stats.COUNTS).toPandas()
     if not len(sample):
         return None, 2.0
     forest = IsolationForest.fit(_matrix(sample))
