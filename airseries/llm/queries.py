@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airseries.llm import exact_dedup, packing, piece_encoding, quality_qda, quality_rules, repair_ids, simhash_bk, url_filter
+from airseries.llm import exact_dedup, packing, piece_encoding, quality_qda, quality_rules, repair_ids, revisits, simhash_bk, token_rollups, url_filter
 from airseries.llm.common import ready
 
 _MODULES = {
     "op1_best_fit_packing": packing,
+    "op2_warc_revisits": revisits,
     "op3_quality_rules": quality_rules,
     "op4_simhash_near_dedup": simhash_bk,
+    "op5_token_rollups": token_rollups,
     "op6_piece_encoding": piece_encoding,
     "op7_repair_ids": repair_ids,
     "op8_exact_dedup": exact_dedup,
