@@ -77,12 +77,17 @@ def resolve_revisits(captures: DataFrame, bucket: int = BUCKET) -> DataFrame:
     is_revisit = (F.col("kind") == "revisit") & (F.col("http_status") == 304)
     # `row` tells repeated revisits apart; it is read back, so it never changes
     numbered = written(numbered.withColumn("row", F.when(is_revisit, F.monotonically_increasing_id())), "revisit-captures")
-    responses = numbered.where("kind = 'response' AND http_status = 200").groupBy("record_id").agg(
+    # Written, so that the join below shuffles both sides and a response that many revisits name can be split.
+    responses = written(numbered.where("kind = 'response' AND http_status = 200").groupBy("record_id").agg(
         F.max_by(F.struct("headers", "payload_digest"), F.coalesce("payload_digest", F.lit(""))).alias("r")).select(
-        F.col("record_id").alias("response_id"), F.col("r.headers").alias("stored"), F.col("r.payload_digest").alias("digest"))
+        F.col("record_id").alias("of"), F.col("r.headers").alias("stored"), F.col("r.payload_digest").alias("digest")),
+        "revisit-responses")
     revisits = numbered.where("row IS NOT NULL").select(
         "row", "record_id", canonical_url(F.col("url")).alias("url_key"), "headers")
-    joined = revisits.join(latest_earlier(numbered, bucket), "row", "left").join(responses, "response_id", "left")
+    found = revisits.join(latest_earlier(numbered, bucket), "row", "left")
+    # Revisits without a response are dealt out by row instead of meeting at null.
+    found = found.withColumn("wanted", F.coalesce("response_id", F.concat(F.lit("none "), F.col("row").cast("string"))))
+    joined = found.join(responses, (F.col("wanted") == F.col("of")) & F.col("response_id").isNotNull(), "left")
     etag, modified = F.col("headers")["etag"], F.col("headers")["last-modified"]
     agrees = F.when(etag.isNotNull(), weak(etag) == weak(F.col("stored")["etag"])).otherwise(
         modified == F.col("stored")["last-modified"])
