@@ -16,7 +16,8 @@ vectorised forest serves the many shards of a partition. A tree is sent to
 where its queries are instead of to all tasks, because sending every shard to every
 task would be a comparison of all pairs in blocks. Shards with more than
 ``hot`` fingerprints are cut again by the remaining bits, by the same pigeonhole
-argument. A shard passes on a star for each of its own components, never all
+argument; as its fingerprints are distinct and agree in 42 bits or more, such a shard
+has at most 2^22 rows, 64 MB. A shard passes on a star for each of its own components, never all
 pairs, and the stars are joined into components over all shards.
 
 A component's id is its smallest doc_id. Null text is empty; rows of a null

@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from airseries.llm.common import ascii_lower
 from airseries.session import checkpoint_dir
 
-#: Rules that one array may hold; more raise an error (the file would be some GB).
-MAX_RULES = 50_000_000
+#: Rules that one array may hold; more raise an error (the driver builds it).
+MAX_RULES = 5_000_000
 
 #: The rules of the query (fixed values): verdict, host, path.
 RULES = [
