@@ -165,6 +165,8 @@ def solve(counts: np.ndarray, capacity: int) -> Counter[Pattern]:
         plan.update(_place_best_fit(left, capacity))
         if best is None or sum(plan.values()) < sum(best.values()):
             best = plan
+        if sum(best.values()) * capacity - int((counts * np.arange(capacity + 1)).sum()) < capacity:
+            break  # fewer sequences cannot hold the tokens
     return best
 
 

@@ -126,7 +126,7 @@ def count_tokens(docs: DataFrame, json_path: str | None = None, multi_path: str
                 revised[i] = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array([len(x) for x in tokens.encode(texts, json_path)], pa.int64()),
-                 pa.array([len(multi.encode_ordinary(t)) for t in texts], pa.int64()), pa.array(revised, pa.int64())],
+                 pa.array([len(tokens.ordinary(multi, t)) for t in texts], pa.int64()), pa.array(revised, pa.int64())],
                 ["doc_id", "source", "lang", "n_first", "n_multi", "n_revised"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
