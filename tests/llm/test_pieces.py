@@ -21,7 +21,7 @@ def random_texts(n):
 
 def test_agenda_equals_the_library(library):
     texts = [t or "" for _, t, *_ in cases.rows()] + random_texts(1500)
-    assert E.PieceEncoder(E.default_model()).encode(texts, 1) == library.encode(texts, num_threads=1)
+    assert E.PieceEncoder(E.default_model()).encode(texts) == library.encode(texts, num_threads=1)
 
 
 def test_list_and_heap_agendas_agree():
@@ -42,8 +42,9 @@ def test_a_long_word_and_a_full_table(library, monkeypatch):
 def test_a_difference_is_an_error():
     e = E.PieceEncoder(E.default_model())
     e.known["▁the"] = (5,)
-    with pytest.raises(AssertionError):
-        e.encode(["the"])
+    for texts in (["the"], ["a", "b", "of the"]):  # wherever in the batch
+        with pytest.raises(AssertionError):
+            e.encode(texts)
 
 
 def test_digests_and_real_outputs(spark, library):
