@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from airseries.llm.common import id_and_text
 
 MARK = "▁"
-#: Units and stretches whose ids a worker keeps (some 100 MB each); a full table makes way for a new one.
-KEPT_UNITS = 300_000
-KEPT_STRETCHES = 500_000
+#: Units and stretches whose ids a worker keeps (some 200 MB each); a full table makes way for a new one.
+KEPT_UNITS = 800_000
+KEPT_STRETCHES = 1_000_000
 #: Characters up to which the agenda is a plain list.
 SHORT = 40
 NEVER = float("inf")
