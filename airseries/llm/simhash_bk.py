@@ -251,13 +251,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = near_groups(docs, id_col=id_col, text_col=text_col, **options)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("keeper_hash"))
     kept = written(groups.where(stays).groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")), "simhash-kept")
-    kept = kept.select(*(F.col(c).alias(f"__{c}") for c in kept.columns))
+    kept = kept.select(*(F.col(c).alias(f"of_{c}") for c in kept.columns))
+    # The documents' columns travel in a struct, where their names cannot clash.
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    joined = docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__doc_id"))
-                       & (F.xxhash64(text) == F.col("__text_hash")))
-    columns = [f"`{c}`" for c in docs.columns]
-    again = joined.where("__rows > 1").dropDuplicates(["__doc_id", "__text_hash"])  # repeated rows
-    return joined.where("__rows = 1").select(*columns).unionByName(again.select(*columns))
+    texts = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+                        F.xxhash64(text).alias("text_hash"))
+    joined = texts.join(kept, F.col("doc_id").eqNullSafe(F.col("of_doc_id"))
+                        & (F.col("text_hash") == F.col("of_text_hash")))
+    again = joined.where("of_rows > 1").dropDuplicates(["of_doc_id", "of_text_hash"])  # repeated rows
+    return joined.where("of_rows = 1").select("row").unionByName(again.select("row")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

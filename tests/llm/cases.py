@@ -3,7 +3,8 @@
 import random
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
-          "n long, sha string, length string, part int, `a.b` string")
+          "n long, sha string, length string, part int, `a.b` string, "
+          "__doc_id string, __rows string, of_rows string, row string, digest string, `tick``ed` string")
 
 
 def _word(rng):
@@ -29,7 +30,8 @@ def rows():
     texts += [(100 + i, prose(50 + i, 80) + ".") for i in range(60)]
     texts += [(200 + i, base) for i in range(40)]  # a hot group
     return [(i, t, None if k % 7 == 0 else "en", None if k % 5 == 0 else f"s{k % 3}",
-             None if t is None else len(t), k, "x", "y", 1, "z") for k, (i, t) in enumerate(texts)]
+             None if t is None else len(t), k, "x", "y", 1, "z",
+             "1", "2", "3", "4", "5", "6") for k, (i, t) in enumerate(texts)]
 
 
 def documents(spark):
