@@ -120,15 +120,16 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = written(groups.where("keeper"), "dedup-kept").select(
         *(F.col(c).alias(f"of_{c}") for c in ("doc_id", "n_cp", "norm_len", "prefix_hash", "sha", "rows")))
     # The documents' columns travel in a struct, where their names cannot clash.
-    texts = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    norm = normalised(F.col("text"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+                       F.length(text).cast("long").alias("n_cp"))
+    norm = normalised(F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")))
     # The text itself decides only where one id has several rows (`or` stops at its first true side).
     same_text = (F.col("of_rows") == 1) | (
         (F.length(norm) == F.col("of_norm_len")) & (F.xxhash64(F.substring(norm, 1, PREFIX)) == F.col("of_prefix_hash"))
         & (F.col("of_sha").isNull() | (F.unhex(F.sha2(norm, 256)) == F.col("of_sha"))))
-    joined = texts.join(kept, F.col("doc_id").eqNullSafe(F.col("of_doc_id"))
-                        & (F.length("text").cast("long") == F.col("of_n_cp")) & same_text)
+    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("of_doc_id"))
+                       & (F.col("n_cp") == F.col("of_n_cp")) & same_text)
     once = joined.where("of_rows = 1").select("row")
     again = joined.where("of_rows > 1").withColumn("digest", F.sha2(norm, 256)) \
         .dropDuplicates(["of_doc_id", "of_n_cp", "digest"]).select("row")
