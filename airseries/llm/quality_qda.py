@@ -155,9 +155,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` predicted 1, scored where they lie (texts are not shuffled)."""
-    model = fit(written(statistics(docs, text_col=text_col), "qda-stats"), labels)
+def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
+              train_docs: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` predicted 1, scored where they lie (texts are not shuffled).
+
+    The discriminant is fitted on the training rows of ``train_docs``, or of ``docs`` if that is not given: where
+    an earlier filter has removed bad rows, those that are left do not show what a bad row is.
+    """
+    known = docs if train_docs is None else train_docs
+    id_col = F.col("doc_id").cast("long")
+    known = known.where(id_col.isNotNull() & ~held_out(id_col))
+    model = fit(written(statistics(known, text_col=text_col), "qda-stats"), labels)
     if model is None:
         return docs
 

@@ -9,6 +9,7 @@ treated as each stage's operator states in its module.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from airseries.llm import exact_dedup, packing, quality_qda, quality_rules, simhash_bk
@@ -19,14 +20,28 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The table ``documents`` as it was before any stage; None where a folder has none."""
+    try:
+        return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules (base rules and isolation forest) keep."""
     return quality_rules.keep_by_rules(docs, _labels(ready(spark), sf_dir))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quadratic discriminant predicts to be good."""
-    return quality_qda.keep_good(docs, _labels(ready(spark), sf_dir))
+    """Documents that the quadratic discriminant predicts to be good.
+
+    It is fitted on the training labels of the whole table, as the rules before it leave hardly a bad row; a folder
+    without ``documents`` has only this stage's input to learn from.
+    """
+    return quality_qda.keep_good(docs, _labels(ready(spark), sf_dir), train_docs=_whole(spark, sf_dir))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

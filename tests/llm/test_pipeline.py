@@ -57,3 +57,20 @@ def test_stages_on_an_empty_table(spark, labelled):
 
 def test_packing_is_the_last_stage(spark):
     assert set(packing.pack_documents(cases.empty(spark)).columns) >= {"doc_id", "piece", "sequence_id", "offset"}
+
+
+def test_classifier_learns_from_rows_that_the_rules_removed(spark, tmp_path):
+    """The rules leave no labelled bad row, yet an unlabelled bad document is scored."""
+    def junk(seed):
+        return " ".join(w + "%&#"[k % 3] * 3 for k, w in enumerate(cases.prose(seed, 60).split()))
+
+    good = [(i, cases.prose(300 + i, 80) + ".") for i in range(60)]
+    bad = [(100 + i, junk(500 + i)) for i in range(20)]
+    rows = good + bad + [(900, cases.prose(900, 80) + "."), (901, junk(901))]
+    whole = spark.createDataFrame(rows, "doc_id long, text string")
+    whole.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad], "doc_id long, quality int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    left = whole.where("doc_id NOT BETWEEN 100 AND 199")
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["quality_classifier"](spark, left, str(tmp_path)).collect()}
+    assert 901 not in kept and 900 in kept and len(kept) == 61
