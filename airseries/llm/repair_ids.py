@@ -5,7 +5,7 @@ shards of about ``shard_ids`` ids. In each shard frequent adjacent id pairs are
 repeatedly replaced by nonterminals: a round counts the pairs that lie inside a document,
 gives a rule to every pair that occurs at least ``least`` times, and replaces its
 non-overlapping occurrences from left to right; the next round pairs the
-nonterminals. A shard stores the rules, the length each rule expands to, the
+nonterminals, until no pair is left that can be replaced. A shard stores the rules, the length each rule expands to, the
 compressed sequence and an index of its documents, so any document or range of
 ids is decoded alone (:meth:`Shard.document`, :meth:`Shard.ids`).
 
@@ -39,7 +39,7 @@ from airseries.llm.common import id_and_text, shared_folder
 END_ID = 0
 SHARD_IDS = 1 << 20
 MAGIC = b"RPR1"
-ROUNDS, LEAST = 4, 16
+LEAST = 16
 _BITS = 19
 
 
@@ -50,27 +50,26 @@ def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (mixed * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - _BITS)
 
 
-def _round(seq: np.ndarray, last: np.ndarray, base: int, least: int):
-    """One round: (new sequence, new last flags, rule sides), or None if no pair is frequent."""
-    bucket = _bucket(seq[:-1], seq[1:])
-    bucket[last[:-1]] = 0  # pairs do not reach over the end of a document
-    size = np.bincount(bucket, minlength=1 << _BITS)
-    size[0] = 0
-    spots = np.flatnonzero((size >= least)[bucket])
-    if not len(spots):
-        return None
+def _round(seq: np.ndarray, last: np.ndarray, live: np.ndarray, base: int, least: int):
+    """One round: (new sequence, new last flags, new live flags, rule sides), or None if no pair can be replaced.
+
+    ``live`` marks where a pair starts that may be frequent: replacing makes no new pair of old symbols, so all
+    places of such a pair were counted before, and a pair that was rare stays rare.
+    """
+    spots = np.flatnonzero(live[:-1] & ~last[:-1])  # pairs do not reach over the end of a document
+    bucket = _bucket(seq[spots], seq[spots + 1])
+    spots = spots[(np.bincount(bucket, minlength=1 << _BITS) >= least)[bucket]]  # no pair is more frequent than its bucket
     key = (seq[spots].astype(np.uint64) << np.uint64(32)) | seq[spots + 1]
     pairs, times = np.unique(key, return_counts=True)
-    pairs, times = pairs[times >= least], times[times >= least]
+    pairs = pairs[times >= least]
     if not len(pairs):
         return None
-    order = np.argsort(times, kind="stable")  # of two pairs in one bucket the more frequent is written last
-    rule_of = np.full(1 << _BITS, -1, dtype=np.int32)
-    sides = np.column_stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
-    rule_of[_bucket(sides[order, 0], sides[order, 1])] = order
-    rule = rule_of[bucket[spots]]
-    match = (rule >= 0) & (pairs[rule] == key)
+    rule = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+    match = pairs[rule] == key
     spots, rule = spots[match], rule[match]
+    frequent = np.zeros(len(seq), dtype=bool)
+    frequent[spots] = True
+    sides = np.column_stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
     # occurrences that overlap form runs; every other one of a run is replaced
     start = np.concatenate([[True], spots[1:] != spots[:-1] + 1])
     at = np.arange(len(spots))
@@ -85,24 +84,28 @@ def _round(seq: np.ndarray, last: np.ndarray, base: int, least: int):
     out[spots] = base + rule
     flags = last.copy()
     flags[spots] = last[spots + 1]
+    frequent[spots[spots > 0] - 1] = True  # a new pair starts before a replaced one too
     stay = np.ones(len(seq), dtype=bool)
     stay[spots + 1] = False
-    return out[stay], flags[stay], sides[used]
+    return out[stay], flags[stay], frequent[stay], sides[used]
+
 
+def compress(doc_ids: list[int | None], docs: list[np.ndarray], rounds: int | None = None, least: int = LEAST) -> bytes:
+    """The bytes of one shard; no document may be empty (each has at least its end id).
 
-def compress(doc_ids: list[int | None], docs: list[np.ndarray], rounds: int = ROUNDS, least: int = LEAST) -> bytes:
-    """The bytes of one shard; no document may be empty (each has at least its end id)."""
+    Without ``rounds`` it goes on until no pair can be replaced.
+    """
     lengths = np.array([len(d) for d in docs], dtype=np.int64)
     ids = np.concatenate(docs).astype(np.uint32) if docs else np.empty(0, np.uint32)
     last = np.zeros(len(ids), dtype=bool)
     last[np.cumsum(lengths) - 1] = True
     first_rule = int(ids.max()) + 1 if len(ids) else 0
     seq, sides = ids, [np.empty((0, 2), np.uint32)]
-    for _ in range(rounds):
-        if len(seq) < 2 or (found := _round(seq, last, first_rule + sum(map(len, sides)), least)) is None:
-            break
-        seq, last, new = found
+    live, symbols = np.ones(len(seq), dtype=bool), first_rule
+    while len(sides) - 1 != rounds and len(seq) > 1 and (found := _round(seq, last, live, symbols, least)) is not None:
+        seq, last, live, new = found
         sides.append(new)
+        symbols += len(new)
     rules = np.concatenate(sides)
     expands = np.ones(first_rule + len(rules), dtype=np.int64)
     at = 0

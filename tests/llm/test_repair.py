@@ -41,6 +41,24 @@ def test_large_ids_take_four_bytes():
     assert (R.Shard(R.compress([1], docs, least=2)).all_ids() == docs[0]).all()
 
 
+@pytest.mark.parametrize("least", [2, R.LEAST])
+def test_rounds_go_on_until_no_pair_is_frequent(least):
+    rng = np.random.default_rng(5)
+    passage = rng.integers(1, 50_000, 600)  # shared by all documents
+    docs = [np.concatenate([rng.integers(1, 40, rng.integers(50, 90)), passage, [0]]).astype(np.uint32) for _ in range(40)]
+    shard = R.Shard(R.compress([*range(40)], docs, least=least))
+    assert (shard.all_ids() == np.concatenate(docs)).all() and shard.expands.max() >= 600
+    assert all((shard.document(k) == d).all() for k, d in enumerate(docs))
+    seq = shard.seq.tolist()
+    ends = set(np.append(shard.first_symbol[1:], len(seq)).tolist())
+    times, after = {}, {}
+    for k in range(len(seq) - 1):
+        pair = (seq[k], seq[k + 1])
+        if k + 1 not in ends and after.get(pair, 0) <= k:  # occurrences that do not overlap
+            times[pair], after[pair] = times.get(pair, 0) + 1, k + 2
+    assert max(times.values(), default=0) < least
+
+
 def test_other_bytes_are_refused():
     with pytest.raises(ValueError):
         R.Shard(b"nope" + bytes(100))
