@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airseries.llm import exact_dedup, packing, piece_encoding, quality_qda, quality_rules, repair_ids, revisits, simhash_bk, token_rollups, url_filter
+from airseries.llm import exact_dedup, heap_clusters, histogram_sort, merkle_manifest, packing, piece_encoding, quality_qda, quality_rules, repair_ids, revisits, simhash_bk, token_rollups, url_filter
 from airseries.llm.common import ready
 
 _MODULES = {
@@ -20,6 +20,9 @@ _MODULES = {
     "op8_exact_dedup": exact_dedup,
     "op9_url_filter": url_filter,
     "op10_quality_classifier": quality_qda,
+    "op11_merkle_manifest": merkle_manifest,
+    "op12_histogram_sort": histogram_sort,
+    "op13_heap_clusters": heap_clusters,
 }
 
 ORACLE: dict[str, str] = {name: m.ORACLE for name, m in _MODULES.items() if hasattr(m, "ORACLE")}
