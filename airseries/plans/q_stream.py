@@ -10,28 +10,32 @@ from pyspark.sql import functions as F
 
 from airseries.operators import hourly as H
 from airseries.plans import q_core  # noqa: F401  (registers the oracle entries reused below)
-from airseries.plans.oracle import hourly_chain, r6, readings_cte
+from airseries.plans.oracle import hourly_chain, hourly_cte, pivot_cte, r6, readings_cte
 from airseries.plans.registry import ORACLE, register
 from airseries.session import scratch_path
 from airseries.sources import csv_raw
-from airseries.sources.readings import events_readings
+from airseries.sources.readings import events_readings, events_readings_sql
 from airseries.streaming import streams as ST
 
 _CANON = ["sensor_id", "sensor_type", "location", "timestamp", "value_type", "value"]
 
 
 def _dirs(spark, name):
+    """Landing folder, readings table and a base for sinks and checkpoints."""
     base = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
-    return f"{base}/landing", f"{base}/sink", f"{base}/ckpt"
+    return f"{base}/landing", f"{base}/readings", base
 
 
-def _land(spark, sf_dir, landing, part: str, lo=None, hi=None):
-    r = events_readings(spark, sf_dir)
+def _span(r, lo=None, hi=None):
     if lo is not None:
         r = r.where(F.col("timestamp") >= F.lit(lo).cast("timestamp_ntz"))
     if hi is not None:
         r = r.where(F.col("timestamp") < F.lit(hi).cast("timestamp_ntz"))
-    csv_raw.write_readings_csv(r, f"{landing}/{part}", columns=_CANON)
+    return r
+
+
+def _land(spark, sf_dir, landing, part: str, lo=None, hi=None, columns=_CANON, junk=False):
+    csv_raw.write_readings_csv(_span(events_readings(spark, sf_dir), lo, hi), f"{landing}/{part}", columns=columns, junk=junk)
 
 
 @register("stream_incremental", f"""
@@ -40,13 +44,31 @@ SELECT location, value_type, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY 1, 2
 """)
 def stream_incremental(spark, sf_dir):
     """ST1: two scheduled runs over a growing landing folder; the second reads only the new files."""
-    landing, sink, ckpt = _dirs(spark, "st1")
+    landing, readings, base = _dirs(spark, "st1")
     _land(spark, sf_dir, landing, "part1", hi="2024-01-15")
-    ST.run_available_now(ST.ingest_stream(spark, landing), sink, ckpt)
+    ST.land_new_files(spark, landing, readings, f"{base}/ckpt")
     _land(spark, sf_dir, landing, "part2", lo="2024-01-15")
-    ST.run_available_now(ST.ingest_stream(spark, landing), sink, ckpt)
-    out = spark.read.parquet(sink)
-    return out.groupBy("location", "value_type").agg(F.count(F.lit(1)).alias("n"))
+    ST.land_new_files(spark, landing, readings, f"{base}/ckpt")
+    return spark.read.parquet(readings).groupBy("location", "value_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("stream_mixed_headers", f"""
+WITH {readings_cte()}
+SELECT CAST(epoch AS BIGINT) AS epoch, location, sensor_id, timestamp, value_type, value
+FROM (SELECT *, CASE WHEN timestamp < TIMESTAMP '2024-01-20' THEN 0 ELSE 1 END AS epoch FROM r)
+""")
+def stream_mixed_headers(spark, sf_dir):
+    """ST1: files of three header orders, one with a junk column, land over two runs; every
+    reading arrives under its own column name, in the run that its file landed before."""
+    landing, readings, base = _dirs(spark, "st1h")
+    _land(spark, sf_dir, landing, "part1", hi="2024-01-10")
+    _land(spark, sf_dir, landing, "part2", lo="2024-01-10", hi="2024-01-20",
+          columns=["timestamp", "value", "value_type", "location", "sensor_id", "sensor_type"], junk=True)
+    ST.land_new_files(spark, landing, readings, f"{base}/ckpt")
+    _land(spark, sf_dir, landing, "part3", lo="2024-01-20", columns=["value_type", "sensor_id", "value", "location", "timestamp"])
+    ST.land_new_files(spark, landing, readings, f"{base}/ckpt")
+    return spark.read.schema(ST.READINGS_SCHEMA).parquet(readings).select(
+        "epoch", "location", "sensor_id", "timestamp", "value_type", "value")
 
 
 @register("stream_hourly", f"""
@@ -57,51 +79,74 @@ WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 H
 def stream_hourly(spark, sf_dir):
     """ST2: event-time hourly means with a 2-hour watermark (append mode): every hour
     closed by the watermark equals the batch hourly series."""
-    landing, sink, ckpt = _dirs(spark, "st2")
+    landing, readings, base = _dirs(spark, "st2")
     _land(spark, sf_dir, landing, "part1")
-    ST.run_available_now(ST.hourly_stream(ST.ingest_stream(spark, landing)), sink, ckpt)
-    return spark.read.parquet(sink)
+    ST.land_new_files(spark, landing, readings, f"{base}/ckpt")
+    ST.run_available_now(ST.hourly_stream(ST.ingest_stream(spark, readings)), f"{base}/sink", f"{base}/ckpt_hourly")
+    return spark.read.parquet(f"{base}/sink")
 
 
-@register("stream_late_fix", ORACLE["hourly_wide"])
-def stream_late_fix(spark, sf_dir):
-    """ST3: a late file for an already published month rewrites only the touched partitions."""
-    landing, sink, ckpt = _dirs(spark, "st3")
-    out = sink + "_hourly"
+@register("stream_hourly_order", f"""
+WITH r0 AS ({events_readings_sql()}),
+r AS (SELECT * REPLACE (CASE WHEN timestamp < TIMESTAMP '2024-01-15' THEN CAST(CAST(value AS DOUBLE) + 1000 AS VARCHAR) ELSE value END
+      AS value) FROM r0),
+{pivot_cte()}, {hourly_cte()}
+SELECT location, timestamp, {', '.join(r6(c, c) for c in ['P0', 'P1', 'P2', 'humidity', 'temperature'])} FROM h
+WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 16 DAY
+""")
+def stream_hourly_order(spark, sf_dir):
+    """ST2: readings arrive twice, in the second micro-batch from a file that sorts before the
+    first one's: the value that is first in file order wins, as in the batch series."""
+    landing, readings, base = _dirs(spark, "st2o")
+    r = events_readings(spark, sf_dir)
 
-    def landing_reader():
-        return csv_raw.read_raw(spark, landing)
+    def run():
+        ST.land_new_files(spark, landing, readings, f"{base}/ckpt")
+        ST.run_available_now(ST.hourly_stream(ST.ingest_stream(spark, readings), watermark="16 days"),
+                             f"{base}/sink", f"{base}/ckpt_hourly")
 
-    handler = ST.late_fix_batch(spark, landing_reader, out)
+    csv_raw.write_readings_csv(_span(r, hi="2024-01-15"), f"{landing}/part1", columns=_CANON, name="b_first_to_arrive")
+    run()
+    early = _span(r, hi="2024-01-15").withColumn("value", (F.col("value").cast("double") + 1000).cast("string"))
+    csv_raw.write_readings_csv(early, f"{landing}/part2", columns=_CANON, name="a_first_in_order")
+    csv_raw.write_readings_csv(_span(r, lo="2024-01-15"), f"{landing}/part3", columns=_CANON, name="c_rest")
+    run()
+    return spark.read.parquet(f"{base}/sink")
+
+
+@register("stream_late_fix", ORACLE["hourly_wide"])
+def stream_late_fix(spark, sf_dir):
+    """ST3: a late file for an already published month is merged into the stored first values
+    and rewrites only the touched partitions."""
+    landing, readings, base = _dirs(spark, "st3")
+    handler = ST.late_fix_batch(spark, f"{base}/first_values", f"{base}/hourly")
 
     def run():
-        (ST.ingest_stream(spark, landing).writeStream.foreachBatch(handler)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination())
+        ST.land_new_files(spark, landing, readings, f"{base}/ckpt")
+        ST.run_batches(ST.ingest_stream(spark, readings), handler, f"{base}/ckpt_fix")
 
     _land(spark, sf_dir, landing, "part1", hi="2024-01-20")
     run()
     _land(spark, sf_dir, landing, "part2", lo="2024-01-20")
     run()
-    return spark.read.parquet(out).select(F.col("location").cast("bigint").alias("location"), "timestamp",
-                                          "P0", "P1", "P2", "humidity", "temperature")
+    return spark.read.parquet(f"{base}/hourly").select(F.col("location").cast("bigint").alias("location"), "timestamp",
+                                                       "P0", "P1", "P2", "humidity", "temperature")
 
 
 @register("stream_retrain")
 def stream_retrain(spark, sf_dir):
     """ST4: the batch step (eligibility table) runs only for non-empty micro-batches."""
-    landing, sink, ckpt = _dirs(spark, "st4")
-    out = sink + "_eligible"
+    landing, readings, base = _dirs(spark, "st4")
+    out = f"{base}/eligible"
     runs = []
 
     def step(batch, epoch_id):
         runs.append(epoch_id)
-        readings = csv_raw.read_raw(spark, landing)
-        (H.distinct_hours(readings).withColumn("epoch", F.lit(epoch_id))
+        (H.distinct_hours(spark.read.parquet(readings)).withColumn("epoch", F.lit(epoch_id))
          .write.mode("overwrite").parquet(out))
 
-    handler = ST.retrain_on_new_data(step)
     _land(spark, sf_dir, landing, "part1")
     for _ in range(2):  # the second run finds no new file: no retraining
-        (ST.ingest_stream(spark, landing).writeStream.foreachBatch(handler)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination())
+        ST.land_new_files(spark, landing, readings, f"{base}/ckpt")
+        ST.run_batches(ST.ingest_stream(spark, readings), ST.retrain_on_new_data(step), f"{base}/ckpt_train")
     return spark.read.parquet(out).withColumn("n_retrains", F.lit(len(runs)))

@@ -47,9 +47,21 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+#: Folder that holds this package.
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def apply_sql_defaults(spark: SparkSession) -> None:
-    """SQL-level settings the operators rely on (safe to call repeatedly)."""
+    """Settings the operators rely on (safe to call repeatedly).
+
+    Python workers find this package by path, whatever folder the driver was
+    started in (on a cluster the package is installed, or its folder shared).
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if ROOT not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

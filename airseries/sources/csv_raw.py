@@ -8,17 +8,20 @@
   ``mapInPandas`` (header bytes only), files are grouped by header, and every
   group is read with its own column order and unioned by name.
 * Malformed lines: too many fields -> dropped, too few -> padded with NULL
-  (pandas ``on_bad_lines="warn"``); unreadable files are skipped.
+  (pandas ``on_bad_lines="warn"``); unreadable files are skipped, named in a
+  warning and counted.
 * ``ord`` = (file rank in sorted file names, split offset, row in split)
-  packed into one BIGINT gives file order for "first" semantics.
+  packed into one BIGINT gives file order for "first" semantics; a part that
+  does not fit is an error.
 """
 
 from __future__ import annotations
 
 import os
+import warnings
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,11 +35,19 @@ NA_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan"
             "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
+def clean_header(name: Column) -> Column:
+    """A header field without surrounding blanks, quotes or a byte-order mark."""
+    return F.trim(F.regexp_replace(F.trim(name), '^\ufeff?"?|"$', ""))
+
+
 def _first_lines(batches):
+    """The first line of each file; ``error`` says why a file could not be read."""
+    import pyarrow as pa
     import pyarrow.fs as pafs
     for pdf in batches:
-        heads = []
+        heads, errors = [], []
         for p in pdf["path"]:
+            line = error = None
             try:
                 if p.startswith("file:"):
                     with open("/" + p[5:].lstrip("/"), "rb") as f:
@@ -45,11 +56,13 @@ def _first_lines(batches):
                     fs, rel = pafs.FileSystem.from_uri(p)
                     with fs.open_input_stream(rel) as f:
                         chunk = f.read(65536)
-                line = chunk.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", errors="replace")
-                heads.append(line.lstrip("﻿"))
-            except Exception:  # unreadable file: skipped like the original
-                heads.append(None)
-        yield pd.DataFrame({"path": pdf["path"], "header": heads})
+                line = chunk.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", errors="replace").lstrip("\ufeff")
+            # Gone since it was listed, or a broken archive; anything else (credentials, network) ends the query.
+            except (FileNotFoundError, IsADirectoryError, EOFError, pa.ArrowInvalid) as e:
+                error = f"{type(e).__name__}: {e}"[:200]
+            heads.append(line)
+            errors.append(error)
+        yield pd.DataFrame({"path": pdf["path"], "header": heads, "error": errors})
 
 
 def list_files(spark: SparkSession, paths, cutoff_year: int | None = None) -> DataFrame:
@@ -67,15 +80,21 @@ def read_raw(spark: SparkSession, paths, cutoff_year: int | None = None, cutoff_
              observation=None) -> DataFrame:
     """Read landing files into (location, sensor_id, sensor_type, timestamp, value_type, value, ord).
 
-    ``observation`` (a ``pyspark.sql.Observation``) receives ``lines`` and
-    ``dropped_lines`` once the result is computed (the original only warned).
+    ``observation`` (a ``pyspark.sql.Observation``) receives ``lines``,
+    ``dropped_lines`` and ``unreadable_files`` once the result is computed; each
+    unreadable file is also named in a warning, as in the original.
     """
     files = list_files(spark, paths, cutoff_year)
-    heads = files.mapInPandas(_first_lines, "path string, header string").where(F.col("header").isNotNull())
+    heads = files.mapInPandas(_first_lines, "path string, header string, error string")
     # Small: one row per file (what Spark's own file index holds on the driver).
     groups: dict[str, list[str]] = {}
+    unreadable = 0
     for row in heads.collect():
-        groups.setdefault(row["header"], []).append(row["path"])
+        if row["header"] is None:
+            unreadable += 1
+            warnings.warn(f"unreadable file left out: {row['path']} ({row['error']})", stacklevel=2)
+        else:
+            groups.setdefault(row["header"], []).append(row["path"])
     # File order = sorted file names (then full path for equal names).  The
     # rank table has one row per listed file: the same list Spark's file index
     # already keeps on the driver, so its size is known and it is broadcast.
@@ -104,32 +123,54 @@ def read_raw(spark: SparkSession, paths, cutoff_year: int | None = None, cutoff_
         raw = raw.unionByName(p, allowMissingColumns=True)
     if observation is not None:
         raw = raw.observe(observation, F.count(F.lit(1)).alias("lines"),
-                          F.count_if(F.col("_extra").isNotNull()).alias("dropped_lines"))
+                          F.count_if(F.col("_extra").isNotNull()).alias("dropped_lines"),
+                          F.max(F.lit(unreadable)).alias("unreadable_files"))
     raw = raw.where(F.col("_extra").isNull()).drop("_extra").join(F.broadcast(ranks), "_fp", "left")
-    # ord packs (file rank, split offset in MiB, row within the Spark partition)
-    # into one BIGINT: 20 + 19 + 24 bits (1M files, 512 GiB files, 16M rows per
-    # split).  Splits start at multiples of >= 4 MiB, so the MiB offset is
-    # unique per split; a fixed-width ord keeps the pivot a hash aggregation.
-    row = F.col("_mid").bitwiseAND(F.lit((1 << 24) - 1))
-    raw = raw.withColumn("ord", F.shiftleft(F.col("_rank"), 43)
-                         .bitwiseOR(F.shiftleft(F.shiftright(F.col("_bs"), 20), 24))
-                         .bitwiseOR(row)).drop("_fp", "_bs", "_mid", "_rank")
+    raw = raw.withColumn("ord", packed_order(F.col("_rank"), F.col("_bs"), F.col("_mid"))).drop("_fp", "_bs", "_mid", "_rank")
+    out = canonical_readings(raw)
+    if cutoff_ts is not None:
+        out = out.where(F.col("timestamp") >= F.lit(cutoff_ts).cast("timestamp_ntz"))
+    return out
+
+
+#: Bits of ``ord`` for the file rank (1M files), the split offset in MiB (512 GiB files) and the row of the split (16M).
+ORD_BITS = (20, 19, 24)
+#: Bits of a row's number inside its Spark partition in ``monotonically_increasing_id`` (fixed by Spark).
+ROW_BITS = 33
+
+
+def packed_order(rank: Column, block_start: Column, mid: Column, bits=ORD_BITS) -> Column:
+    """File order as one BIGINT: (file rank, split offset, row within the Spark partition).
+
+    Splits start at multiples of >= 4 MiB, so the MiB offset is unique per
+    split; a fixed-width ``ord`` keeps the pivot a hash aggregation.  A part that
+    does not fit its bits is an error: order would silently be another one.
+    """
+    rank_bits, block_bits, row_bits = bits
+    row = mid.bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    mib = F.shiftright(block_start, 20)
+    packed = F.shiftleft(rank, block_bits + row_bits).bitwiseOR(F.shiftleft(mib, row_bits)).bitwiseOR(row)
+    fits = (rank < F.lit(1 << rank_bits)) & (mib < F.lit(1 << block_bits)) & (row < F.lit(1 << row_bits))
+    return F.when(fits, packed).otherwise(F.raise_error(F.concat(
+        F.lit(f"file order does not fit {rank_bits} + {block_bits} + {row_bits} bits: file rank "), rank.cast("string"),
+        F.lit(", offset in MiB "), mib.cast("string"), F.lit(", row "), row.cast("string"))).cast("bigint"))
+
+
+def canonical_readings(raw: DataFrame) -> DataFrame:
+    """Text columns of landing files (any of CANONICAL, and ``ord``) -> typed readings."""
     for c in CANONICAL:
         if c not in raw.columns:
             raw = raw.withColumn(c, F.lit(None).cast("string"))
     na = F.array(*[F.lit(x) for x in NA_TEXTS])
     value = F.when(F.array_contains(na, F.col("value")), F.lit(None).cast("string")).otherwise(F.col("value"))
     loc = F.col("location").try_cast("double").try_cast("bigint")
-    out = raw.select(loc.alias("location"), "sensor_id", "sensor_type",
-                     parse_iso(F.col("timestamp")).alias("timestamp"),
-                     "value_type", value.alias("value"), "ord")
-    if cutoff_ts is not None:
-        out = out.where(F.col("timestamp") >= F.lit(cutoff_ts).cast("timestamp_ntz"))
-    return out
+    return raw.select(loc.alias("location"), "sensor_id", "sensor_type",
+                      parse_iso(F.col("timestamp")).alias("timestamp"),
+                      "value_type", value.alias("value"), "ord")
 
 
-def write_readings_csv(readings: DataFrame, path: str, columns=None, junk: bool = False) -> None:
-    """Write readings as ';'-separated landing files with a header (ISO timestamps with offset)."""
+def write_readings_csv(readings: DataFrame, path: str, columns=None, junk: bool = False, name: str = "part") -> None:
+    """Write readings as ';'-separated landing files ``<name>-*.csv`` with a header (ISO timestamps with offset)."""
     cols = columns or ["sensor_id", "sensor_type", "location", "timestamp", "value_type", "value"]
     r = readings.withColumn("sensor_type", F.coalesce(F.col("sensor_type") if "sensor_type" in readings.columns
                                                       else F.lit(None).cast("string"), F.lit("SDS011")))
@@ -139,4 +180,5 @@ def write_readings_csv(readings: DataFrame, path: str, columns=None, junk: bool
     sel = [F.col(c) for c in cols]
     if junk:
         sel.append(F.lit("").alias("Colonne1"))
-    r.select(*sel).write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+    (r.select(*sel).write.mode("overwrite").option("sep", ";").option("header", True)
+     .option("mapreduce.output.basename", name).csv(path))
