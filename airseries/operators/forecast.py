@@ -4,8 +4,9 @@
   (bounded by ``max(50, horizon)`` <= 720 entries), and the step loop runs as
   one ``aggregate`` higher-order function in the JVM, parallel over locations.
 * ``fit_additive``: trend with hinge changepoints + daily/weekly Fourier terms
-  + standardised lag regressors, fitted by ridge regression on sufficient
-  statistics.  Partial X'X / X'y are summed per Spark partition (numpy inside
+  + standardised lag regressors, fitted on sufficient statistics: normal priors
+  are ridge terms, the changepoints' Laplace prior is an L1 term solved by
+  coordinate descent, so most hinges are exactly zero.  Partial X'X / X'y are summed per Spark partition (numpy inside
   ``mapInPandas``), combined by a distributed ``groupBy``, and only the d x d
   system (d = 47) reaches Python for the solve, so the raw rows never gather
   in one task whatever the group size.
@@ -148,10 +149,17 @@ class AdditiveSpec:
     def d(self):
         return 2 + self.n_cp + 2 * self.do + 2 * self.wo + len(self.lag_cols)
 
-    def penalties(self) -> np.ndarray:
+    def penalties(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the ridge terms per row, and of the changepoints' L1 terms per square root of rows.
+
+        The slope that noise alone gives a hinge grows with that root, a real break's with the
+        rows: whatever the length of a series, breaks are found and noise stays at zero.
+        """
         ts, cs, ss, rs = self.scales
-        sc = ([ts, ts] + [cs] * self.n_cp + [ss] * (2 * self.do + 2 * self.wo) + [rs] * len(self.lag_cols))
-        return self.noise_var / np.square(np.array(sc, dtype=float))
+        sc = ([ts, ts] + [np.inf] * self.n_cp + [ss] * (2 * self.do + 2 * self.wo) + [rs] * len(self.lag_cols))
+        l1 = np.zeros(self.d)
+        l1[2:2 + self.n_cp] = self.noise_var / cs
+        return self.noise_var / np.square(np.array(sc, dtype=float)), l1
 
     def time_part(self, secs: Column, t0: Column, t1: Column, cps: Column):
         """Columns that depend on time only (intercept, trend, hinges, seasonality)."""
@@ -178,9 +186,9 @@ def _stats(train: DataFrame, spec: AdditiveSpec, ts: str, y: str) -> DataFrame:
     cps = F.array(*[F.lit(spec.cp_range * j / spec.n_cp) for j in range(1, spec.n_cp + 1)])
     return (st.withColumn("cps", cps)
             .withColumn("y_scale", F.when(F.col("y_scale") > 0, F.col("y_scale")).otherwise(F.lit(1.0)))
-            .withColumn("lag_mu", F.array(*[F.col(f"mu_{c}") for c in spec.lag_cols]))
+            .withColumn("lag_mu", F.array(*[F.col(f"mu_{c}") for c in spec.lag_cols]).cast("array<double>"))
             .withColumn("lag_sd", F.array(*[F.when(F.col(f"sd_{c}") > 0, F.col(f"sd_{c}")).otherwise(F.lit(1.0))
-                                            for c in spec.lag_cols]))
+                                            for c in spec.lag_cols]).cast("array<double>"))
             .select("model_key", "t0", "t1", "n_train", "y_scale", "cps", "lag_mu", "lag_sd"))
 
 
@@ -222,19 +230,73 @@ def _partial_sums(d: int):
     return fn
 
 
+def sparse_solution(gram: np.ndarray, moment: np.ndarray, ridge: np.ndarray, l1: np.ndarray,
+                    sweeps: int = 5_000) -> np.ndarray:
+    """argmin 1/2 b'(gram + diag(ridge))b - moment'b + sum(l1 |b|), with exact zeros where ``l1`` holds.
+
+    The coefficients without ``l1`` are eliminated (a linear solve), coordinate
+    descent with soft thresholds runs on the others, and once their signs have
+    settled the active ones are solved for exactly.
+    """
+    quad = gram + np.diag(ridge)
+    sparse = l1 > 0
+    if not sparse.any():
+        return np.linalg.solve(quad, moment)
+    free = ~sparse
+    inner = np.linalg.solve(quad[np.ix_(free, free)], np.column_stack([quad[np.ix_(free, sparse)], moment[free]]))
+    s = quad[np.ix_(sparse, sparse)] - quad[np.ix_(sparse, free)] @ inner[:, :-1]
+    c = moment[sparse] - quad[np.ix_(sparse, free)] @ inner[:, -1]
+    lam, diag = l1[sparse], np.diag(s)
+    usable = diag > 1e-12 * max(diag.max(initial=0.0), 1e-300)
+    delta = np.zeros(len(c))
+
+    def exact(delta):
+        on = delta != 0
+        out = np.zeros_like(delta)
+        if on.any():
+            out[on] = np.linalg.lstsq(s[np.ix_(on, on)], c[on] - lam[on] * np.sign(delta[on]), rcond=None)[0]
+        slope = c - s @ out
+        fits = (np.sign(out[on]) == np.sign(delta[on])).all() and (np.abs(slope[~on]) <= lam[~on] * (1 + 1e-9)).all()
+        return out if fits else None
+
+    for sweep in range(sweeps):
+        largest = 0.0
+        for j in np.flatnonzero(usable):
+            pull = c[j] - s[j] @ delta + diag[j] * delta[j]
+            new = np.sign(pull) * max(abs(pull) - lam[j], 0.0) / diag[j]
+            largest, delta[j] = max(largest, abs(new - delta[j])), new
+        if sweep % 20 == 19 or largest == 0.0:
+            polished = exact(delta)
+            if polished is not None:
+                delta = polished
+                break
+    beta = np.empty(len(moment))
+    beta[sparse] = delta
+    beta[free] = inner[:, -1] - inner[:, :-1] @ delta
+    return beta
+
+
 def _solver(spec: AdditiveSpec):
     d = spec.d
-    pen = spec.penalties()
+    ridge, l1 = spec.penalties()
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values("idx")["v"].to_numpy(dtype=float)
-        xtx = v[: d * d].reshape(d, d)
-        xty = v[d * d: d * d + d]
-        beta = np.linalg.solve(xtx + np.diag(pen * max(v[-1], 1.0)), xty)
+        n = max(v[-1], 1.0)
+        beta = sparse_solution(v[: d * d].reshape(d, d), v[d * d: d * d + d], ridge * n, l1 * math.sqrt(n))
         return pd.DataFrame({"model_key": [pdf["model_key"].iloc[0]], "coef": [beta.tolist()]})
     return solve
 
 
+def normal_equations(train: DataFrame, stats: DataFrame, spec: AdditiveSpec, y: str = "y", ts: str = "ds") -> DataFrame:
+    """(model_key, idx, v): X'X row by row (d * d), then X'y (d), then n; partial sums per partition, then per key."""
+    x = (design(train, stats, spec, ts)
+         .select("model_key", "x", (F.col(y) / F.col("y_scale")).alias("ys")))
+    partial = (x.sortWithinPartitions("model_key")
+               .mapInPandas(_partial_sums(spec.d), "model_key string, idx long, v double"))
+    return partial.groupBy("model_key", "idx").agg(F.sum("v").alias("v"))
+
+
 def fit_additive(train: DataFrame, spec: AdditiveSpec, y: str = "y", ts: str = "ds") -> DataFrame:
     """M2: one coefficient vector per ``model_key``; returns the model table
     (model_key, coef, t0, t1, n_train, y_scale, cps, lag_mu, lag_sd)."""
@@ -242,11 +304,7 @@ def fit_additive(train: DataFrame, spec: AdditiveSpec, y: str = "y", ts: str = "
     # materialise it once instead of recomputing the hourly plan twice.
     train = cut_lineage(train.select("model_key", ts, y, *spec.lag_cols))
     stats = _stats(train, spec, ts, y)
-    x = (design(train, stats, spec, ts)
-         .select("model_key", "x", (F.col(y) / F.col("y_scale")).alias("ys")))
-    partial = (x.sortWithinPartitions("model_key")
-               .mapInPandas(_partial_sums(spec.d), "model_key string, idx long, v double"))
-    summed = partial.groupBy("model_key", "idx").agg(F.sum("v").alias("v"))
+    summed = normal_equations(train, stats, spec, y, ts)
     coefs = summed.groupBy("model_key").applyInPandas(_solver(spec), "model_key string, coef array<double>")
     # The model table is tiny (one row per key) and reused by prediction and
     # recursion: materialise it once in the shared checkpoint folder so later
@@ -254,6 +312,29 @@ def fit_additive(train: DataFrame, spec: AdditiveSpec, y: str = "y", ts: str = "
     return cut_lineage(coefs.join(stats, "model_key", "inner"))
 
 
+def optimality(model: DataFrame, sums: DataFrame, spec: AdditiveSpec, tolerance: float = 1e-7) -> DataFrame:
+    """Per model and coefficient: is the condition of the optimum met?
+
+    The slope of the squared error plus ridge must vanish; a hinge has it equal
+    to its L1 weight against its sign, or within that weight where it is zero.
+    """
+    d = spec.d
+    ridge, l1 = (F.array(*[F.lit(float(x)) for x in v]) for v in spec.penalties())
+    n = sums.where(F.col("idx") == d * d + d).select("model_key", F.col("v").alias("n"))
+    gram = sums.where(F.col("idx") < d * d).select("model_key", F.expr(f"cast(idx div {d} as int)").alias("i"),
+                                                   F.expr(f"cast(idx % {d} as int)").alias("j"), "v")
+    moment = sums.where((F.col("idx") >= d * d) & (F.col("idx") < d * d + d)).select(
+        "model_key", (F.col("idx") - d * d).cast("int").alias("i"), F.col("v").alias("xy"))
+    fit = (gram.join(model.select("model_key", "coef"), "model_key")
+           .groupBy("model_key", "i").agg(F.sum(F.col("v") * F.get("coef", F.col("j"))).alias("xb")))
+    j = fit.join(moment, ["model_key", "i"]).join(n, "model_key").join(model.select("model_key", "coef"), "model_key")
+    beta, lam = F.get("coef", F.col("i")), F.get(l1, F.col("i")) / F.sqrt("n")
+    slope = (F.col("xb") - F.col("xy")) / F.col("n") + F.get(ridge, F.col("i")) * beta
+    violation = F.when(beta == 0, F.greatest(F.abs(slope) - lam, F.lit(0.0))).otherwise(F.abs(slope + lam * F.signum(beta)))
+    return j.select("model_key", F.col("i").cast("long").alias("coefficient"), (lam > 0).alias("is_changepoint"),
+                    (beta == 0).alias("is_zero"), slope.alias("slope"), (violation <= tolerance).alias("satisfied"))
+
+
 def predict_additive(df: DataFrame, model: DataFrame, spec: AdditiveSpec, ts: str = "ds") -> DataFrame:
     """M3: yhat = y_scale * (x . coef) for rows whose model_key has a model."""
     d = design(df, model, spec, ts)

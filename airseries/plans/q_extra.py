@@ -11,22 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from airseries.functions.aqi import aqi_category_sql, aqi_sql
-from airseries.functions.constants import TARGET_LAGS
 from airseries.functions.timefns import day_name, period_label
 from airseries.operators import explore as X
 from airseries.operators import forecast as FC
 from airseries.operators import hourly as H
 from airseries.operators.features import add_features
 from airseries.plans import dashboard as D
-from airseries.plans import q_forecast
-from airseries.plans.oracle import features_cte, hourly_chain, hourly_cte, pivot_cte, r6, readings_cte
+from airseries.plans.oracle import features_cte, hourly_chain, hourly_cte, lineitem_readings_cte, pivot_cte, r6, readings_cte
 from airseries.plans.q_misc import pages_listing
 from airseries.plans.registry import register
 from airseries.session import scratch_path
 from airseries.sources import landing as L
 from airseries.sources import sinks
 from airseries.sources.dimension import FIXTURE_SITES, location_dim, with_location_label
-from airseries.sources.readings import events_readings
+from airseries.sources.readings import events_readings, lineitem_readings
 
 HCOLS = ["P0", "P1", "P2", "humidity", "temperature"]
 
@@ -213,22 +211,34 @@ def series_fallback(spark, sf_dir):
     return u.groupBy("location", "source").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("model_reuse")
+@register("model_reuse", f"""
+WITH {lineitem_readings_cte()}, {pivot_cte(types=['P2'])}, {hourly_cte(types=['P2'])}
+SELECT request, CAST(fits AS BIGINT) AS fits, CAST((SELECT count(DISTINCT location) FROM h WHERE P2 IS NOT NULL) AS BIGINT) AS models
+FROM (VALUES ('first', 1), ('again', 1), ('other parameters', 2), ('new data', 3), ('forced', 4)) v(request, fits)
+""")
 def model_reuse(spark, sf_dir):
-    """M15 + SC17: the second request reuses the persisted model table instead of refitting."""
-    path = _scratch(spark, "model")
-    spec = FC.AdditiveSpec(TARGET_LAGS["P2"])
+    """M15 + SC17: a model is reused for the same data and parameters, and refitted when the data in
+    the same folder change, when parameters change, or when asked for."""
+    data = _scratch(spark, "model-data")
+    name = f"reuse-{uuid.uuid4().hex[:12]}"
+    h = H.hourly_wide(lineitem_readings(spark, sf_dir), value_types=["P2"]).where(F.col("P2").isNotNull())
+    h.select(F.col("location").cast("string").alias("model_key"), F.col("timestamp").alias("ds"), F.col("P2").alias("y")) \
+        .write.parquet(data)
     fits = []
 
-    def fit():
-        fits.append(1)
-        return FC.fit_additive(q_forecast._training(spark, sf_dir), spec)
-
-    first = sinks.load_or_fit(spark, path, fit)
-    second = sinks.load_or_fit(spark, path, fit)
-    return second.select("model_key", "n_train", F.size("coef").alias("n_coef")) \
-                 .withColumn("n_fits", F.lit(len(fits))).withColumn("same", F.lit(first.count() == second.count()))
-
+    def request(label, spec, force=False):
+        def fit():
+            fits.append(label)
+            return FC.fit_additive(spark.read.parquet(data), spec)
+        path = sinks.model_path(spark, name, [data], vars(spec))
+        models = sinks.load_or_fit(spark, path, fit, force).count()
+        return label, len(fits), models
+
+    plain, other = FC.AdditiveSpec([]), FC.AdditiveSpec([], daily_order=2)
+    rows = [request("first", plain), request("again", plain), request("other parameters", other)]
+    spark.read.parquet(data).limit(0).write.mode("append").parquet(data)  # a new file in the folder
+    rows += [request("new data", plain), request("forced", plain, force=True)]
+    return spark.createDataFrame(rows, "request STRING, fits BIGINT, models BIGINT")
 
 
 @register("explicit_locations", f"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from airseries.functions.constants import TARGET_LAGS
@@ -12,9 +10,9 @@ from airseries.operators import hourly as H
 from airseries.operators import seasonal as S
 from airseries.operators.features import add_features, next_row_target
 from airseries.operators.filters import last_n_hours
-from airseries.plans.oracle import hourly_chain, r6
+from airseries.plans.oracle import hourly_chain, hourly_cte, lineitem_readings_cte, pivot_cte, r6
 from airseries.plans.registry import register
-from airseries.session import cut_lineage, scratch_path
+from airseries.session import cut_lineage
 from airseries.sources import sinks
 from airseries.sources.readings import events_readings, lineitem_wide_readings
 
@@ -107,13 +105,13 @@ def _training(spark, sf_dir, target="P2", extra=(), feats=None):
 def _holdout_fit(spark, sf_dir, spec, target="P2", extra=(), training=None, reuse_as=None):
     """Fit on all but the last 168 rows of every series, score those rows.
 
-    ``reuse_as`` names a session-scoped saved model (M15): a later query with
-    the same name reuses it instead of refitting."""
+    ``reuse_as`` names a saved model (M15): a later request for the same data
+    and parameters reuses it instead of refitting."""
     t = training if training is not None else _training(spark, sf_dir, target, extra)
     t = S.holdout_last(t, 168, ts="ds")
     fit = lambda: FC.fit_additive(t.where(~F.col("is_test")), spec)
     if reuse_as:
-        path = scratch_path(spark, f"additive-{reuse_as}-{hashlib.sha1(sf_dir.encode()).hexdigest()[:10]}")
+        path = sinks.model_path(spark, f"additive-{reuse_as}", [f"{sf_dir}/lineitem.parquet"], vars(spec))
         model = sinks.load_or_fit(spark, path, fit)
     else:
         model = fit()
@@ -137,6 +135,61 @@ def _metrics(test, spec, model):
                     FC.mae_quality(F.col("mae")).alias("quality")))
 
 
+def _plain_fit(spark, sf_dir):
+    """The additive model without regressors over the whole hourly series, with its sums."""
+    spec = FC.AdditiveSpec([])
+    t = cut_lineage(_model_series(spark, sf_dir).where(F.col("P2").isNotNull()).select(
+        F.col("location").cast("string").alias("model_key"), F.col("timestamp").alias("ds"), F.col("P2").alias("y")))
+    stats = FC._stats(t, spec, "ds", "y")
+    return spec, t, stats, FC.normal_equations(t, stats, spec)
+
+
+def _design_sql() -> str:
+    """The design row of ``_plain_fit`` as a DuckDB list (t: scaled time, days: days since the epoch)."""
+    spec = FC.AdditiveSpec([])
+    cols = ["1.0", "t"] + [f"greatest(0.0, t - {spec.cp_range * j / spec.n_cp!r})" for j in range(1, spec.n_cp + 1)]
+    for period, order in ((1.0, spec.do), (7.0, spec.wo)):
+        for k in range(1, order + 1):
+            cols += [f"{f}(2 * pi() * {k} / {period} * days)" for f in ("sin", "cos")]
+    return "[" + ", ".join(cols) + "]"
+
+
+_PLAIN_SQL = f"""
+WITH {lineitem_readings_cte()}, {pivot_cte(types=['P2'])}, {hourly_cte(types=['P2'])},
+s AS (SELECT location, P2, epoch(timestamp) AS e, min(epoch(timestamp)) OVER w AS lo, max(epoch(timestamp)) OVER w AS hi,
+             max(abs(P2)) OVER w AS top FROM h WHERE P2 IS NOT NULL WINDOW w AS (PARTITION BY location)),
+q AS (SELECT location, CASE WHEN top > 0 THEN P2 / top ELSE P2 END AS y, (e - lo) / greatest(hi - lo, 1.0) AS t, e / 86400.0 AS days FROM s),
+x AS (SELECT location, y, {_design_sql()} AS x FROM q)
+"""
+
+
+@register("additive_normal_equations", _PLAIN_SQL + f"""
+SELECT CAST(location AS VARCHAR) AS model_key, CAST(i.i * {FC.AdditiveSpec([]).d} + j.j AS BIGINT) AS idx,
+       round(sum(x[i.i + 1] * x[j.j + 1]), 6) AS v
+FROM x, range({FC.AdditiveSpec([]).d}) i(i), range({FC.AdditiveSpec([]).d}) j(j) GROUP BY location, i.i, j.j
+UNION ALL
+SELECT CAST(location AS VARCHAR), CAST({FC.AdditiveSpec([]).d ** 2} + i.i AS BIGINT), round(sum(x[i.i + 1] * y), 6)
+FROM x, range({FC.AdditiveSpec([]).d}) i(i) GROUP BY location, i.i
+UNION ALL
+SELECT CAST(location AS VARCHAR), CAST({FC.AdditiveSpec([]).d ** 2 + FC.AdditiveSpec([]).d} AS BIGINT), CAST(count(*) AS DOUBLE) FROM x GROUP BY 1
+""")
+def additive_normal_equations(spark, sf_dir):
+    """M2: the sums X'X, X'y and n that the additive model is solved from, per location."""
+    return _plain_fit(spark, sf_dir)[3]
+
+
+@register("changepoint_optimality", _PLAIN_SQL + f"""
+SELECT CAST(location AS VARCHAR) AS model_key, CAST(c AS BIGINT) AS coefficient, c BETWEEN 2 AND 26 AS is_changepoint,
+       TRUE AS satisfied
+FROM (SELECT DISTINCT location FROM x), range({FC.AdditiveSpec([]).d}) r(c)
+""")
+def changepoint_optimality(spark, sf_dir):
+    """M2: the optimum's condition of every coefficient (subgradient for changepoints), from the distributed sums."""
+    spec, t, _, sums = _plain_fit(spark, sf_dir)
+    return FC.optimality(FC.fit_additive(t, spec), sums, spec).select(
+        "model_key", "coefficient", "is_changepoint", "satisfied")
+
+
 @register("additive_fit")
 def additive_fit(spark, sf_dir):
     """M1 + M2 + M3 + M16 + X27: per-location additive model, last-168 hold-out metrics record."""

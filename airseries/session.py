@@ -86,6 +86,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir`` itself, which outlives the session (else this session's)."""
+    current = checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or current
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint in the shared checkpoint folder (never local)."""
     checkpoint_dir(df.sparkSession)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airseries.operators.hourly import manifest
+from airseries.session import shared_root
 
 
 def write_series(features: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -60,14 +65,44 @@ def save_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def load_or_fit(spark: SparkSession, path: str, fit) -> DataFrame:
-    """Reuse the persisted table when present, else fit, save and return it."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # absent or unreadable -> refit
-        df = fit()
-        save_table(df, path)
-        return spark.read.parquet(path)
+def content_key(spark: SparkSession, inputs: list[str], params: dict) -> str:
+    """Key of a model by content: its parameters and the name, size and time of every input file.
+
+    Files are listed by Spark (no content is read); a sum of hashes stands for
+    the list, so it needs no order and no row reaches the driver.
+    """
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(inputs)
+             .select(F.xxhash64("path", "length", F.unix_micros("modificationTime")).cast("decimal(38,0)").alias("h")))
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h")).first()
+    text = json.dumps({"files": [row["n"], str(row["h"])], "params": params}, sort_keys=True, default=str)
+    return hashlib.sha256(text.encode()).hexdigest()[:24]
+
+
+def model_path(spark: SparkSession, name: str, inputs: list[str], params: dict | None = None) -> str:
+    """Where the model ``name`` of these inputs and parameters is kept, in the shared folder, across sessions.
+
+    New data or other parameters are another path, so a stale model is never found.
+    """
+    return f"{shared_root(spark).rstrip('/')}/models/{name}-{content_key(spark, inputs, params or {})}"
+
+
+def is_absent(e: AnalysisException) -> bool:
+    return e.getCondition() == "PATH_NOT_FOUND"
+
+
+def load_or_fit(spark: SparkSession, path: str, fit, force: bool = False) -> DataFrame:
+    """Reuse the persisted table when present, else (or with ``force``) fit, save and return it.
+
+    Only a path that does not exist counts as absent; a table that cannot be read is an error.
+    """
+    if not force:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as e:
+            if not is_absent(e):
+                raise
+    save_table(fit(), path)
+    return spark.read.parquet(path)
 
 
 def write_bucketed_series(series: DataFrame, table: str, path: str, n_buckets: int,
