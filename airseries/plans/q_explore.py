@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from airseries.operators import explore as X
 from airseries.operators import hourly as H
+from airseries.operators import quantiles as Q
 from airseries.operators.features import add_features
-from airseries.plans.oracle import features_cte, hourly_chain, lineitem_readings_cte, pivot_cte, hourly_cte, r6, readings_cte
+from airseries.plans.oracle import features_cte, hourly_chain, lineitem_readings_cte, pivot_cte, hourly_cte, r6, readings_cte, to_double_sql
 from airseries.plans.registry import register
 from airseries.sources.readings import events_readings, lineitem_readings
 
@@ -90,6 +91,42 @@ def box_by_day(spark, sf_dir):
     return X.box_stats(_feat(spark, sf_dir), "P2", "jour_semaine")
 
 
+_RAW_Q = f"""
+WITH {readings_cte()},
+v AS (SELECT value_type, CAST(location AS BIGINT) % 2 = 0 AS even, {to_double_sql('value')} AS x FROM r WHERE location IS NOT NULL),
+q AS (SELECT value_type, even, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.75) AS q3
+      FROM v WHERE x IS NOT NULL GROUP BY 1, 2),
+j AS (SELECT v.*, q1, med, q3, x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside
+      FROM v JOIN q ON v.value_type = q.value_type AND v.even = q.even WHERE x IS NOT NULL)
+"""
+
+
+def _raw_values(spark, sf_dir):
+    """Raw readings: value type, whether the site's number is even, value."""
+    return events_readings(spark, sf_dir).where(F.col("location").isNotNull()).select(
+        "value_type", (F.col("location") % 2 == 0).alias("even"), H.to_double("value").alias("x"))
+
+
+@register("raw_stats_by_type", _RAW_Q + f"""
+SELECT value_type, even, CAST(count(*) AS BIGINT) AS n, {r6('avg(x)', 'mean')}, {r6('stddev_samp(x)', 'std')},
+  {r6('min(x)', 'min')}, {r6('any_value(q1)', 'q1')}, {r6('any_value(med)', 'median')}, {r6('any_value(q3)', 'q3')},
+  {r6('max(x)', 'max')} FROM j GROUP BY 1, 2
+""")
+def raw_stats_by_type(spark, sf_dir):
+    """A15 + A16 on the raw readings, exact, by distributed selection."""
+    return Q.raw_stats(_raw_values(spark, sf_dir), ["value_type", "even"], "x")
+
+
+@register("raw_box_by_type", _RAW_Q + f"""
+SELECT value_type, even, {r6('any_value(q1)', 'q1')}, {r6('any_value(med)', 'median')}, {r6('any_value(q3)', 'q3')},
+  {r6('min(x) FILTER (WHERE inside)', 'whisker_lo')}, {r6('max(x) FILTER (WHERE inside)', 'whisker_hi')},
+  CAST(count(*) FILTER (WHERE NOT inside) AS BIGINT) AS n_outliers, CAST(count(*) AS BIGINT) AS n FROM j GROUP BY 1, 2
+""")
+def raw_box_by_type(spark, sf_dir):
+    """A17 on the raw readings, exact, by distributed selection (buckets small enough here to take two passes)."""
+    return Q.raw_box(_raw_values(spark, sf_dir), ["value_type", "even"], "x", final_rows=200)
+
+
 @register("histogram_50", f"""
 WITH {hourly_chain()},
 v AS (SELECT location, P2, min(P2) OVER (PARTITION BY location) AS mn, max(P2) OVER (PARTITION BY location) AS mx
