@@ -87,3 +87,8 @@ MAX_HORIZON = 720
 WEEKEND_LABELS = ("weekend", "semaine")
 NOTEBOOK_WEEKEND_LABELS = ("Week-end", "Semaine")
 # ----------------------------------------------------------- END FIXED VALUES
+
+# FIXED VALUES: day name -> number (Monday first), period -> code, parameter grid of the boosted trees.
+DAY_MAP = {"Monday": 0, "Tuesday": 1, "Wednesday": 2, "Thursday": 3, "Friday": 4, "Saturday": 5, "Sunday": 6}
+PERIOD_MAP = {"semaine": 0, "weekend": 1}
+PARAM_GRID = {"max_depth": [3, 4], "n_estimators": [80, 120], "learning_rate": [0.05, 0.1], "subsample": [0.8, 1.0]}

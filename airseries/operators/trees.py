@@ -1,38 +1,31 @@
 """Boosted trees on lag / calendar / weather features.
 
-* Training and one-step scoring use MLlib ``GBTRegressor`` (distributed: each
-  boosting round is an aggregate over all partitions).  One model is shared by
-  all locations (Q24); rows are pooled, the per-location 80/20 split is kept.
-* Grid search (M11) fits every (parameter set, expanding fold) pair; the fits
-  are independent Spark jobs submitted from a small thread pool, as the
-  original ran its grid with all local workers.
-* Recursive evaluation (M13) cannot call an MLlib model per step inside a
-  query, so the fitted ensemble is compiled into a native ``CASE`` expression
-  (sum over trees of nested threshold tests) and evaluated inside one
-  ``aggregate`` fold per location, in the JVM, for all locations at once.
+* Models are those of :mod:`airseries.operators.boosting`, with the defaults of
+  the original's library (step 0.3, L2 weight 1).  One model is shared by all
+  locations (Q24); rows are pooled, the per-location 80/20 split is kept.
+* Grid search (M11) advances every (parameter set, expanding fold) pair in the
+  same jobs.  The tuned model (M12, M13) is the grid's winner, refitted on the
+  whole training part.
+* Recursive evaluation (M13) runs in the JVM: the fitted ensemble is compiled
+  into a native ``CASE`` expression inside one ``aggregate`` fold per location,
+  for all locations at once.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from airseries.functions.constants import DAY_MAP, PARAM_GRID, PERIOD_MAP
 from airseries.functions.timefns import day_name, hour_of_day, period_label
+from airseries.operators import boosting as B
 from airseries.operators.seasonal import split_80_20
-from airseries.session import cut_lineage
-
-# FIXED VALUES: day name -> number (Monday first), period -> code.
-DAY_MAP = {"Monday": 0, "Tuesday": 1, "Wednesday": 2, "Thursday": 3, "Friday": 4, "Saturday": 5, "Sunday": 6}
-PERIOD_MAP = {"semaine": 0, "weekend": 1}
+from airseries.sources import sinks
 
 NOTEBOOK_LAGS = [1, 2, 3, 24, 168]
-PARAM_GRID = {"maxDepth": [3, 4], "maxIter": [80, 120], "stepSize": [0.05, 0.1], "subsamplingRate": [0.8, 1.0]}
 
 
 def _map(d: dict, c: Column) -> Column:
@@ -51,109 +44,76 @@ def tree_features(series: DataFrame, target: str = "P2", lags=NOTEBOOK_LAGS, key
     })
 
 
-def assemble(df: DataFrame, features) -> DataFrame:
-    """Rows with a NULL feature or target are skipped (MLlib trees take no missing values)."""
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
-
-
-def fit_gbt(train: DataFrame, features, label: str = "P2", **params):
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=42, **params)
-    return gbt.fit(assemble(train.where(F.col(label).isNotNull()), features))
-
+def fit_or_load(spark: SparkSession, path: str | None, fit, force: bool = False) -> DataFrame:
+    """M15 for trees: the table of trees kept at ``path`` (see ``sinks.model_path``), else fitted and kept."""
+    return sinks.load_or_fit(spark, path, fit, force) if path else fit()
 
-def fit_or_load_gbt(train: DataFrame, features, label: str, model_path: str | None, **params):
-    """M15 for trees: reuse the model saved at ``model_path`` when present, else fit and save it."""
-    from pyspark.ml.regression import GBTRegressionModel
-    if model_path:
-        try:
-            return GBTRegressionModel.load(model_path)
-        except Exception:  # absent -> fit
-            pass
-    model = fit_gbt(train, features, label, **params)
-    if model_path:
-        model.write().overwrite().save(model_path)
-    return model
 
-
-def one_step_eval(series: DataFrame, features, label: str = "P2", model_path: str | None = None, **params):
+def one_step_eval(series: DataFrame, features, spec: B.Boosting, label: str = "P2", model_path: str | None = None):
     """Fit on every location's first 80 %, score the last 20 % with true lags."""
-    s = split_80_20(series)
-    model = fit_or_load_gbt(s.where("is_train"), features, label, model_path, **params)
-    pred = model.transform(assemble(s.where(~F.col("is_train")).where(F.col(label).isNotNull()), features))
-    return model, pred.select("location", "timestamp", F.col(label).alias("actual"),
-                              F.col("prediction").alias("predicted"))
-
-
-def grid_search(series: DataFrame, features, label: str = "P2", grid=PARAM_GRID, n_splits: int = 3,
-                parallelism: int = 8) -> DataFrame:
-    """Every parameter combination x expanding fold, mean MAE per combination.
-
-    ``series`` should be materialised (checkpointed) by the caller: every fit reads it.
-    """
+    s = split_80_20(series).withColumn("_segment", F.when(F.col("is_train"), 0).otherwise(1))
+    trees = fit_or_load(series.sparkSession, model_path, lambda: B.fit(
+        s, list(features), label, "_segment", ["location", "timestamp"], [spec])[0])
+    nodes = trees.where(F.col("model") == spec.name).collect()  # rounds x 2^(depth + 1) rows at most
+    test = s.where(~F.col("is_train")).where(F.col(label).isNotNull()).dropna(subset=list(features))
+    return trees, test.select("location", "timestamp", F.col(label).alias("actual"),
+                              B.predicted(nodes, list(features)).alias("predicted"))
+
+
+def expanding_segments(series: DataFrame, n_splits: int) -> DataFrame:
+    """Training rows with ``_segment``: fold k learns from segments 0 .. k and is scored on k + 1."""
+    w = Window.partitionBy("location")
     s = split_80_20(series).where("is_train").drop("rn", "n")
-    s = s.withColumn("rn", F.row_number().over(Window.partitionBy("location").orderBy("timestamp"))) \
-         .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("location"))) \
-         .withColumn("_tsz", F.floor(F.col("n") / F.lit(n_splits + 1)))
-    # Every fit reads the fold table: materialise it once in the shared checkpoint folder.
-    s = cut_lineage(s)
-    names = list(grid)
-    combos = [dict(zip(names, vals)) for vals in product(*[grid[k] for k in names])]
+    s = s.withColumn("_rn", F.row_number().over(w.orderBy("timestamp"))).withColumn("_n", F.count(F.lit(1)).over(w))
+    size = F.floor(F.col("_n") / F.lit(n_splits + 1))
+    first = F.col("_n") - size * F.lit(n_splits)
+    # Segment 0 takes the remainder, as expanding splits do; a series shorter than the splits is all segment 0.
+    return s.withColumn("_segment", F.when((F.col("_rn") <= first) | (size == 0), 0).otherwise(
+        F.ceil((F.col("_rn") - first) / size)).cast("int")).drop("_rn", "_n")
+
+
+def grid_specs(grid=PARAM_GRID, n_splits: int = 3) -> dict[str, tuple[int, dict, B.Boosting]]:
+    """Model name -> (fold, parameters, spec); numbers of trees share one model and are scored on the way."""
+    out, most = {}, max(grid["n_estimators"])
+    others = [k for k in grid if k != "n_estimators"]
+    for values in product(*[grid[k] for k in others]):
+        p = dict(zip(others, values))
+        for fold in range(n_splits):
+            name = "-".join(map(str, [*values, fold]))
+            out[name] = fold, p, B.Boosting(name, most, p["max_depth"], p["learning_rate"], p["subsample"],
+                                            train_upto=fold, score_at=tuple(grid["n_estimators"]))
+    return out
+
+
+def grid_search(series: DataFrame, features, label: str = "P2", grid=PARAM_GRID, n_splits: int = 3) -> DataFrame:
+    """Every parameter combination x expanding fold, mean MAE per combination, best first."""
     spark = series.sparkSession
-
-    def run(job):
-        ci, params, fold = job
-        start = F.col("n") - (F.lit(n_splits) - F.lit(fold)) * F.col("_tsz")
-        tr = s.where(F.col("rn") <= start)
-        te = s.where((F.col("rn") > start) & (F.col("rn") <= start + F.col("_tsz")))
-        m = fit_gbt(tr, features, label, **params)
-        p = m.transform(assemble(te.where(F.col(label).isNotNull()), features))
-        mae = p.agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0]
-        return (ci, fold, float(mae) if mae is not None else None)
-
-    jobs = [(ci, p, f) for ci, p in enumerate(combos) for f in range(n_splits)]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        results = list(pool.map(run, jobs))
-    # 48 scores: a small result table built from the fits' outputs.
-    rows = [(ci, fold, mae, *[combos[ci][k] for k in names]) for ci, fold, mae in results]
-    schema = "combo INT, fold INT, mae DOUBLE, maxDepth INT, maxIter INT, stepSize DOUBLE, subsamplingRate DOUBLE"
-    scores = spark.createDataFrame(rows, schema)
-    return (scores.groupBy("combo", *names).agg(F.avg("mae").alias("mean_mae"), F.count("fold").alias("n_folds"))
+    specs = grid_specs(grid, n_splits)
+    _, scores = B.fit(expanding_segments(series, n_splits), list(features), label, "_segment", ["location", "timestamp"],
+                      [s for _, _, s in specs.values()])
+    names = ["max_depth", "learning_rate", "subsample"]
+    of = spark.createDataFrame([(name, fold, *[p[k] for k in names]) for name, (fold, p, _) in specs.items()],
+                               "model STRING, fold INT, max_depth INT, learning_rate DOUBLE, subsample DOUBLE")
+    return (scores.join(of, "model").groupBy("max_depth", F.col("rounds").alias("n_estimators"), "learning_rate", "subsample")
+            .agg(F.avg("mae").alias("mean_mae"), F.count("fold").alias("n_folds"))
             # 16 rows: a global ordering window is harmless here.
-            .withColumn("rank", F.row_number().over(Window.orderBy("mean_mae", "combo"))))
-
-
-# ------------------------------------------------------- model compilation
-def _node_expr(node, feats) -> Column:
-    if node.getClass().getSimpleName() == "LeafNode":
-        return F.lit(float(node.prediction()))
-    split = node.split()
-    cond = feats[int(split.featureIndex())] <= F.lit(float(split.threshold()))
-    return F.when(cond, _node_expr(node.leftChild(), feats)).otherwise(_node_expr(node.rightChild(), feats))
-
-
-def compile_gbt(model, feats: list[Column]) -> Column:
-    """Sum of weighted trees as one Column over the given feature expressions."""
-    total = F.lit(0.0)
-    for tree, wt in zip(model.trees, model.treeWeights):
-        total = total + F.lit(float(wt)) * _node_expr(tree._java_obj.rootNode(), feats)
-    return total
+            .withColumn("rank", F.row_number().over(Window.orderBy(
+                "mean_mae", "max_depth", "n_estimators", "learning_rate", "subsample"))))
 
 
-def gbt_importance(model, features) -> DataFrame:
-    """M14 for trees: MLlib feature importances as (feature, importance) rows."""
-    imp = [float(x) for x in model.featureImportances.toArray().tolist()]
-    pairs = [F.struct(F.lit(f).alias("feature"), F.lit(v).alias("importance")) for f, v in zip(features, imp)]
-    from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession().range(1).select(F.inline(F.array(*pairs)))
+def winner(scores: DataFrame, name: str = "tuned") -> B.Boosting:
+    """The spec of the best row of :func:`grid_search`, to be fitted on the whole training part."""
+    best = scores.where("rank = 1").first()
+    return B.Boosting(name, best["n_estimators"], best["max_depth"], best["learning_rate"], best["subsample"])
 
 
-def recursive_eval(series: DataFrame, model, target: str = "P2", history: int = 200, n_eval: int = 168,
+def recursive_eval(series: DataFrame, nodes: list, target: str = "P2", history: int = 200, n_eval: int = 168,
                    key: str = "location", ts: str = "timestamp") -> DataFrame:
     """Recursive prediction over the first ``n_eval`` test rows of every
     location, seeded with the last ``history`` training values.  Lags 24/168
     fall back to the *oldest* value when the history is short (notebook
     variant of Q22); hour and weekday come from the real test timestamps.
-    Feature order: lags 1, 2, 3, 24, 168, heure, jour_semaine_num."""
+    ``nodes`` are the rows of one model's trees."""
     s = split_80_20(series.select(key, ts, target))
     w_desc = Window.partitionBy(key).orderBy(F.col(ts).desc())
     hist = (s.where("is_train").withColumn("_k", F.row_number().over(w_desc)).where(F.col("_k") <= history)
@@ -164,21 +124,17 @@ def recursive_eval(series: DataFrame, model, target: str = "P2", history: int =
                               .alias("_t")))
     j = hist.join(test, key).select(key, F.transform("_h", lambda x: x["v"]).alias("hist"), "_t")
 
-    def lag(acc, k, oldest_fallback):
-        short = F.element_at(acc, 1) if oldest_fallback else F.element_at(acc, -1)
-        return F.when(F.size(acc) >= F.lit(k), F.element_at(acc, -k)).otherwise(short)
-
-    def step(acc, i):
-        t = F.element_at(F.col("_t"), i + 1)["t"]
-        feats = F.struct(lag(acc, 1, False).alias("a"), lag(acc, 2, False).alias("b"), lag(acc, 3, False).alias("c"),
-                         lag(acc, 24, True).alias("d"), lag(acc, 168, True).alias("e"),
-                         F.hour(t).cast("double").alias("h"), F.weekday(t).cast("double").alias("w"))
-        # Bind the feature struct once, then evaluate the compiled ensemble on it.
-        pred = F.element_at(F.transform(F.array(feats), lambda f: compile_gbt(
-            model, [f["a"], f["b"], f["c"], f["d"], f["e"], f["h"], f["w"]])), 1)
-        return F.array_append(acc, F.greatest(F.lit(0.0), pred))
-
-    path = F.aggregate(F.sequence(F.lit(0), F.size("_t") - 1), F.col("hist").cast("array<double>"), step)
+    def lag(k, fallback):
+        return f"CASE WHEN size(acc) >= {k} THEN element_at(acc, -{k}) ELSE element_at(acc, {fallback}) END"
+
+    names = {f"{target}_lag_{n}": f"f.l{n}" for n in NOTEBOOK_LAGS} | {"heure": "f.h", "jour_semaine_num": "f.w"}
+    lags = ", ".join(f"{lag(n, -1 if n < 24 else 1)} AS l{n}" for n in NOTEBOOK_LAGS)
+    at = "element_at(_t, i + 1).t"
+    feats = f"struct({lags}, CAST(hour({at}) AS DOUBLE) AS h, CAST(weekday({at}) AS DOUBLE) AS w)"
+    # The feature struct is bound once, then the compiled ensemble is evaluated on it.
+    step = f"element_at(transform(array({feats}), f -> {B.compiled(nodes, names)}), 1)"
+    path = F.expr(f"aggregate(sequence(0, size(_t) - 1), CAST(hist AS ARRAY<DOUBLE>), "
+                  f"(acc, i) -> array_append(acc, greatest(0D, {step})))")
     out = j.withColumn("_p", F.slice(path, -1 * F.size("_t"), F.size("_t")))
     e = out.select(key, "_t", F.posexplode("_p").alias("idx", "predicted"))
     row = F.element_at(F.col("_t"), F.col("idx") + 1)

@@ -103,3 +103,97 @@ def test_only_an_absent_model_is_fitted(spark, tmp_path):
 def test_model_queries(spark):
     got = {r["request"]: r["fits"] for r in E.queries()["model_reuse"](spark, SF001).collect()}
     assert got == {"first": 1, "again": 1, "other parameters": 2, "new data": 3, "forced": 4}
+
+
+# --- boosted trees ------------------------------------------------------------------
+
+def _brute_boost(x, y, train, edges, rounds, depth, eta, l2):
+    """Second-order boosting on sorted thresholds, row by row in plain Python."""
+    base = y[train].mean()
+    pred = np.full(len(y), base)
+    for _ in range(rounds):
+        g = pred - y
+
+        def grow(rows, level):
+            gs, n = g[rows].sum(), len(rows)
+            best = (1e-6, None)
+            if level < depth:
+                for f in range(x.shape[1]):
+                    for e in edges[f]:
+                        left = rows[x[rows, f] <= e]
+                        if 1 <= len(left) <= n - 1:
+                            gl = g[left].sum()
+                            gain = round(gl ** 2 / (len(left) + l2) + (gs - gl) ** 2 / (n - len(left) + l2) - gs ** 2 / (n + l2), 6)
+                            if gain > best[0]:
+                                best = (gain, (f, e))
+            if best[1] is None:
+                return lambda r: -eta * gs / (n + l2)
+            f, e = best[1]
+            a, b = grow(rows[x[rows, f] <= e], level + 1), grow(rows[x[rows, f] > e], level + 1)
+            return lambda r: a(r) if r[f] <= e else b(r)
+
+        tree = grow(np.flatnonzero(train), 0)
+        pred = pred + np.array([tree(r) for r in x])
+    return pred
+
+
+def _table(spark, n=160, seed=0):
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.normal(size=n), rng.integers(0, 4, n), np.round(rng.normal(size=n), 1)]).astype(float)
+    y = np.sin(2 * x[:, 0]) + x[:, 1] - 0.3 * x[:, 2] + rng.normal(size=n) * 0.1
+    seg = (np.arange(n) >= 0.75 * n).astype(int)
+    rows = [(i, *map(float, r), float(v), int(s)) for i, (r, v, s) in enumerate(zip(x, y, seg))]
+    return x, y, seg, spark.createDataFrame(rows, "id LONG, a DOUBLE, b DOUBLE, c DOUBLE, y DOUBLE, seg INT").repartition(3)
+
+
+def test_boosting_equals_brute_force(spark):
+    from airseries.operators import boosting as B
+    x, y, seg, df = _table(spark)
+    specs = [B.Boosting("one", rounds=6, depth=3, eta=0.3, score_at=(6,)),
+             B.Boosting("two", rounds=4, depth=2, eta=0.1, l2=5.0, score_at=(2, 4))]
+    trees, scores = B.fit(df, ["a", "b", "c"], "y", "seg", ["id"], specs, bins=16)
+    trees.cache()
+    edges = B.bin_edges(df.where("seg = 0"), ["a", "b", "c"], 16)
+    err = {(r["model"], r["rounds"]): (r["mae"], r["n"]) for r in scores.collect()}
+    assert set(err) == {("one", 6), ("two", 2), ("two", 4)}
+    for spec in specs:
+        nodes = trees.where(F.col("model") == spec.name).collect()
+        got = {r["id"]: (r["p"], r["q"]) for r in df.select(
+            "id", B.predicted(nodes, ["a", "b", "c"]).alias("p"), F.expr(B.compiled(nodes, {c: c for c in "abc"})).alias("q")).collect()}
+        for rounds in (spec.rounds, *spec.score_at):
+            want = _brute_boost(x, y, seg == 0, [edges[f] for f in "abc"], rounds, spec.depth, spec.eta, spec.l2)
+            if rounds == spec.rounds:
+                assert all(abs(got[i][0] - w) < 1e-9 and abs(got[i][1] - w) < 1e-9 for i, w in enumerate(want))
+            assert err[spec.name, rounds] == (pytest.approx(np.abs(want - y)[seg == 1].mean()), int((seg == 1).sum()))
+
+
+def test_models_together_equal_models_alone(spark):
+    from airseries.operators import boosting as B
+    _, _, _, df = _table(spark, seed=3)
+    specs = [B.Boosting("a", rounds=5, depth=3), B.Boosting("b", rounds=3, depth=4, eta=0.1, subsample=0.6)]
+    both = B.fit(df, ["a", "b", "c"], "y", "seg", ["id"], specs)[0].collect()
+    for s in specs:
+        alone = B.fit(df, ["a", "b", "c"], "y", "seg", ["id"], [s])[0].collect()
+        mine = [r for r in both if r["model"] == s.name]
+        key = lambda r: (r["tree"], r["level"], r["node"])
+        assert [(key(r), r["feature"], r["threshold"]) for r in sorted(mine, key=key)] \
+            == [(key(r), r["feature"], r["threshold"]) for r in sorted(alone, key=key)]
+
+
+def test_boosting_of_awkward_tables(spark):
+    from airseries.operators import boosting as B
+    schema = "id LONG, a DOUBLE, y DOUBLE, seg INT"
+    spec = [B.Boosting("m", rounds=2, score_at=(2,))]
+    assert B.fit(spark.createDataFrame([], schema), ["a"], "y", "seg", ["id"], spec)[0].count() == 0
+    same = spark.createDataFrame([(i, 1.0, 2.0, 0) for i in range(9)] + [(9, None, 1.0, 0), (10, 1.0, None, 0)], schema)
+    trees, scores = B.fit(same, ["a"], "y", "seg", ["id"], spec)
+    assert [(r["feature"], r["value"], r["rows"]) for r in trees.collect()] == [(None, 0.0, 9.0)] * 2
+    assert [(r["mae"], r["n"]) for r in scores.collect()] == [(None, 0)]
+
+
+def test_expanding_segments_follow_the_splits(spark):
+    from airseries.operators import trees as TR
+    rows = [(0, T0 + dt.timedelta(hours=i), float(i)) for i in range(30)] + [(1, T0 + dt.timedelta(hours=i), 1.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "location INT, timestamp TIMESTAMP_NTZ, P2 DOUBLE")
+    got = [r["_segment"] for r in TR.expanding_segments(df, 3).where("location = 0").orderBy("timestamp").collect()]
+    assert got == [0] * 6 + [1] * 6 + [2] * 6 + [3] * 6      # 24 training rows, folds of 6

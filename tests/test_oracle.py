@@ -1,7 +1,5 @@
 """Every registered query with an oracle must agree with DuckDB at sf0.01."""
 
-import os
-
 import pytest
 
 import __spark_entry__ as E
@@ -22,20 +20,16 @@ def test_matches_oracle(spark, con, name):
     compare(df, con, ORACLE[name])
 
 
-SLOW = {"grid_search"}  # 48 boosted-tree fits; run with AIRSERIES_SLOW=1
-
-
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(ORACLE)))
 def test_rows_only_queries_run(spark, name):
     df = E.queries()[name](spark, "/root/testdata/sf0.001")
     assert df.count() > 0, name
 
 
-@pytest.mark.skipif(not os.environ.get("AIRSERIES_SLOW"), reason="slow: set AIRSERIES_SLOW=1")
 def test_grid_search(spark):
-    df = E.queries()["grid_search"](spark, "/root/testdata/sf0.001")
-    rows = df.collect()
+    rows = E.queries()["grid_search"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 16 and all(r["n_folds"] == 3 for r in rows)
+    assert sorted(r["rank"] for r in rows) == list(range(1, 17))
 
 
 def test_entry(spark):

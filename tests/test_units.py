@@ -251,17 +251,6 @@ def test_csv_reader_headers_bad_lines_and_pruning(spark):
     assert [x["location"] for x in r] == [76, 76, 3966, 3966]          # 2024_feb.csv sorts before 2024_jan.csv
 
 
-def test_compiled_trees_equal_mllib(spark):
-    from airseries.operators import trees as TR
-    rng = np.random.default_rng(1)
-    rows = [(float(a), float(b), float(a * 2 - b + rng.normal())) for a, b in rng.uniform(0, 10, (200, 2))]
-    df = spark.createDataFrame(rows, "a DOUBLE, b DOUBLE, P2 DOUBLE")
-    m = TR.fit_gbt(df, ["a", "b"], maxIter=5, maxDepth=3)
-    got = m.transform(TR.assemble(df, ["a", "b"])).select(
-        "prediction", TR.compile_gbt(m, [F.col("a"), F.col("b")]).alias("compiled")).collect()
-    assert all(abs(r["prediction"] - r["compiled"]) < 1e-9 for r in got)
-
-
 @pytest.mark.parametrize("n_days", [3, 10, 33, 40, 52, 60])
 def test_4weekly_kpi_matches_pandas_w_mon(spark, n_days):
     rng = np.random.default_rng(100 + n_days)
