@@ -14,6 +14,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,5 +93,9 @@ def pair_consecutive(fused: DataFrame, value_types=NUMERIC_COLS, group_cols=("lo
 
 def mean_impute(df: DataFrame, value_types=NUMERIC_COLS, group_cols=("location", "month")) -> DataFrame:
     """NULL -> column mean of the group; an all-NULL column stays NULL."""
-    w = Window.partitionBy(*group_cols)
-    return df.withColumns({t: F.coalesce(F.col(t), F.avg(t).over(w)) for t in value_types})
+    # Means are a grouped aggregate joined back (one row per group), so a group's rows never meet in one task.
+    keys = {g: f"_of_{g}" for g in group_cols}
+    means = df.groupBy(*[F.col(g).alias(k) for g, k in keys.items()]).agg(*[F.avg(t).alias(f"_m_{t}") for t in value_types])
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(k)) for g, k in keys.items()])
+    filled = df.join(means, same).withColumns({t: F.coalesce(F.col(t), F.col(f"_m_{t}")) for t in value_types})
+    return filled.select(*df.columns)

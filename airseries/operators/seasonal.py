@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from airseries.operators.chunks import CHUNK_ROWS, lag_products
+
 
 def with_position(df: DataFrame, key: str = "location", ts: str = "timestamp") -> DataFrame:
     """rn = 1-based chronological position, n = rows of the series."""
@@ -78,21 +80,17 @@ def improvement_pct(base_mae: Column, model_mae: Column) -> Column:
 
 
 def acf(df: DataFrame, col: str = "P2", nlags: int = 48, key: str = "location",
-        ts: str = "timestamp") -> DataFrame:
+        ts: str = "timestamp", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Biased autocorrelation for lags 0..nlags with Bartlett 95 % half-bands.
 
-    NULL rows are dropped first (positions close up).  One Window node computes
-    all leads; one aggregate computes every lag sum.
+    NULL rows are dropped first (positions close up).  Lag products are summed
+    over chunks with halos, so no window holds a whole series.
     """
     x = df.where(F.col(col).isNotNull()).select(key, ts, col)
-    w_all = Window.partitionBy(key)
-    x = x.withColumn("_c", F.col(col) - F.avg(col).over(w_all))
-    w = Window.partitionBy(key).orderBy(ts)
-    x = x.withColumns({f"_l{k}": F.lead("_c", k).over(w) for k in range(1, nlags + 1)})
-    sums = [F.sum(F.col("_c") * F.col("_c")).alias("s0")] + \
-           [F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"s{k}") for k in range(1, nlags + 1)]
-    agg = x.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *sums)
-    arr = F.array(*[F.coalesce(F.col(f"s{k}"), F.lit(0.0)) / F.col("s0") for k in range(nlags + 1)])
+    mean = x.groupBy(F.col(key).alias("_k")).agg(F.avg(col).alias("_m"))
+    x = x.join(mean, F.col(key).eqNullSafe(F.col("_k"))).select(key, ts, (F.col(col) - F.col("_m")).alias("_c"))
+    agg = lag_products(x, "_c", nlags, key, ts, chunk_rows)
+    arr = F.transform("s", lambda v: F.coalesce(v, F.lit(0.0)) / F.get("s", F.lit(0)))
     out = agg.select(key, "n", F.posexplode(arr).alias("lag", "acf"))
     # Bartlett: var_k = (1 + 2 * sum_{j=1}^{k-1} acf_j^2) / n for k >= 1.
     wcum = Window.partitionBy(key).orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)

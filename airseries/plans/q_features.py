@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from airseries.functions import timefns as TF
 from airseries.functions.constants import LAGS, TARGET_LAGS
+from airseries.operators import chunks as CH
 from airseries.operators import features as FE
 from airseries.operators import hourly as H
-from airseries.plans.oracle import features_cte, hourly_chain, r6
+from airseries.plans.oracle import features_cte, hourly_chain, hourly_cte, lineitem_readings_cte, pivot_cte, r6
 from airseries.plans.registry import register
-from airseries.sources.readings import events_readings, table
+from airseries.sources.readings import events_readings, events_readings_sql, lineitem_readings, table
 
 LAG_COLS = [f"{v}_lag_{n}" for v in ("P0", "P1", "P2") for n in LAGS]
 BASE = ["P0", "P1", "P2", "humidity", "temperature"]
@@ -40,16 +41,61 @@ _P2L = TARGET_LAGS["P2"]
 
 
 @register("next_hour_target", f"""
-WITH {hourly_chain()}, {features_cte()},
+WITH {lineitem_readings_cte()}, {pivot_cte()}, {hourly_cte()}, {features_cte()},
 b AS (SELECT * FROM f WHERE {' AND '.join(c + ' IS NOT NULL' for c in _P2L + ['P2'])}),
 t AS (SELECT location, timestamp AS ds, lead(P2, 1) OVER (PARTITION BY location ORDER BY timestamp) AS y,
              {', '.join(_P2L)} FROM b)
 SELECT location, ds, {r6('y', 'y')}, {', '.join(r6(c, c) for c in _P2L)} FROM t WHERE y IS NOT NULL
 """)
 def next_hour_target(spark, sf_dir):
-    """M1: complete rows only, then y = next surviving row's P2, ds naive."""
-    t = FE.next_row_target(_feat(spark, sf_dir), "P2", _P2L)
-    return t.select("location", "ds", "y", *_P2L)
+    """M1: complete rows only, then y = next surviving row's P2, ds naive (multi-year series)."""
+    f = FE.add_features(H.hourly_wide(lineitem_readings(spark, sf_dir)))
+    return FE.next_row_target(f, "P2", _P2L).select("location", "ds", "y", *_P2L)
+
+
+_LONG_SQL = f"""
+WITH r AS (SELECT * REPLACE (CAST(0 AS BIGINT) AS location) FROM ({events_readings_sql()})), {pivot_cte()}
+"""
+#: Small enough that the query's series has many chunks; ``chunks.CHUNK_ROWS`` is the working size.
+_CHUNK = 1000
+
+
+def _long_series(spark, sf_dir):
+    """All raw readings as one sensor: a row per timestamp, far more than an hourly series has."""
+    r = events_readings(spark, sf_dir).withColumn("location", F.lit(0).cast("bigint"))
+    return H.pivot_first(r)
+
+
+@register("lags_long_series", _LONG_SQL + f"""
+SELECT location, timestamp, {r6('P2', 'P2')}, {', '.join(r6(f'lag(P2, {n}) OVER w', f'P2_lag_{n}') for n in (1, 5, 24))},
+       {r6('avg(P2) OVER w24', 'P2_roll_mean')}, {r6('stddev_samp(P2) OVER w24', 'P2_roll_std')}
+FROM p WINDOW w AS (PARTITION BY location ORDER BY timestamp),
+              w24 AS (PARTITION BY location ORDER BY timestamp ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)
+""")
+def lags_long_series(spark, sf_dir):
+    """W1 + W5 + W6 over chunks with halos: equal to the plain windows over the whole series."""
+    p = _long_series(spark, sf_dir).select("location", "timestamp", "P2")
+    out = CH.rolling(CH.add_lags(p, ["P2"], [1, 5, 24], chunk_rows=_CHUNK), "P2", 24, chunk_rows=_CHUNK)
+    return out.select("location", "timestamp", "P2", "P2_lag_1", "P2_lag_5", "P2_lag_24", "P2_roll_mean", "P2_roll_std")
+
+
+@register("interp_long_series", _LONG_SQL + f""",
+s0 AS (SELECT location, timestamp, P2, P0, CAST(row_number() OVER w AS DOUBLE) AS n, CAST(epoch_us(timestamp) AS DOUBLE) AS t
+       FROM p WINDOW w AS (PARTITION BY location ORDER BY timestamp)),
+s1 AS (SELECT *, {', '.join(f"last_value(CASE WHEN {c} IS NOT NULL THEN {x} END IGNORE NULLS) OVER f AS {c}_a{x}, "
+                           f"first_value(CASE WHEN {c} IS NOT NULL THEN {x} END IGNORE NULLS) OVER b AS {c}_b{x}, "
+                           f"last_value({c} IGNORE NULLS) OVER f AS {c}_av, first_value({c} IGNORE NULLS) OVER b AS {c}_bv"
+                           for c, x in (('P2', 'n'), ('P0', 't')))}
+       FROM s0 WINDOW f AS (PARTITION BY location ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                      b AS (PARTITION BY location ORDER BY timestamp ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT location, timestamp, {', '.join(r6(f"CASE WHEN {c} IS NOT NULL THEN {c} WHEN {c}_a{x} IS NULL THEN NULL "
+       f"WHEN {c}_b{x} IS NULL THEN {c}_av ELSE {c}_av + ({c}_bv - {c}_av) * ({x} - {c}_a{x}) / ({c}_b{x} - {c}_a{x}) END", c)
+       for c, x in (('P2', 'n'), ('P0', 't')))} FROM s1
+""")
+def interp_long_series(spark, sf_dir):
+    """W3 + W4 over chunks with carried neighbours: P2 by position, P0 by elapsed time."""
+    p = _long_series(spark, sf_dir).select("location", "timestamp", "P2", "P0")
+    return CH.interpolate(CH.interpolate(p, "P2", chunk_rows=_CHUNK), "P0", method="time", chunk_rows=_CHUNK)
 
 
 @register("rolling_24", f"""

@@ -16,7 +16,7 @@ from airseries.plans.oracle import features_cte, hourly_chain, r6, readings_cte
 from airseries.plans.registry import ORACLE, register
 from airseries.session import scratch_path
 from airseries.sources import csv_raw, sinks
-from airseries.sources.landing import valid_landed_files
+from airseries.sources.landing import landed_files
 from airseries.sources.readings import events_readings, table
 
 
@@ -94,16 +94,23 @@ def export_two_columns(spark, sf_dir):
     return back.select("Date", F.col("Valeur").cast("double").alias("Valeur"))
 
 
-@register("landed_file_gate")
+@register("landed_file_gate", f"""
+WITH {readings_cte()}
+SELECT '2024_01_a' AS folder, TRUE AS valid, CAST(NULL AS BIGINT) AS bytes FROM r WHERE timestamp < TIMESTAMP '2024-01-15' HAVING count(*) > 0
+UNION ALL SELECT '2024_01_b', TRUE, NULL FROM r WHERE timestamp >= TIMESTAMP '2024-01-15' HAVING count(*) > 0
+UNION ALL SELECT 'html_pages', NOT bool_and(lower(html[1:256]) LIKE '%<!doctype html%' OR lower(html[1:256]) LIKE '%<html%'),
+                 CAST(sum(strlen(html) + 1) AS BIGINT) FROM pages WHERE html IS NOT NULL
+UNION ALL SELECT 'small', FALSE, CAST(strlen(min(url)) + 1 AS BIGINT) FROM pages
+""")
 def landed_file_gate(spark, sf_dir):
     """SC16: landed files that hold HTML or fewer than 100 bytes are rejected."""
     base = _land_events(spark, sf_dir)
-    table(spark, sf_dir, "pages").select("html").write.mode("overwrite").text(f"{base}/html_pages")
-    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    ok = valid_landed_files(b).select("path").withColumn("valid", F.lit(True))
-    return (b.select("path", "length").join(ok, "path", "left")
-            .select("path", "length", F.coalesce("valid", F.lit(False)).alias("valid")))
-
+    pages = table(spark, sf_dir, "pages")
+    pages.where(F.col("html").isNotNull()).select("html").coalesce(1).write.mode("overwrite").text(f"{base}/html_pages")
+    pages.agg(F.min("url").alias("u")).write.mode("overwrite").text(f"{base}/small")
+    files = landed_files(spark, base).withColumn("folder", F.element_at(F.split("path", "/"), -2))
+    return files.groupBy("folder", "valid").agg(F.sum("length").alias("length")).select(
+        "folder", "valid", F.when(F.col("folder").isin("html_pages", "small"), F.col("length")).alias("bytes"))
 
 
 @register("bucketed_series_lags", f"""

@@ -6,12 +6,16 @@ from the same listing."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from airseries.sources import landing as L
 from airseries.plans.oracle import lineitem_readings_cte
 from airseries.plans.registry import register
+from airseries.session import scratch_path
 from airseries.sources.readings import table
+from airseries.sources.state_log import StateLog
 
 
 def pages_listing(spark, sf_dir):
@@ -146,6 +150,31 @@ def state_after_cycle(spark, sf_dir):
     return L.next_state(c, state)
 
 
+@register("state_committed", f"""
+WITH {_CLASSIFY},
+touched AS (SELECT id AS resource_id, server_modified AS last_modified FROM act WHERE action IN ('new', 'updated'))
+SELECT resource_id, last_modified, CAST(3 AS BIGINT) AS cycles FROM (
+SELECT resource_id, last_modified FROM state WHERE resource_id NOT IN (SELECT resource_id FROM touched)
+UNION ALL SELECT resource_id, last_modified FROM touched)
+""")
+def state_committed(spark, sf_dir):
+    """SC15: the state after committed cycles; one run stops between write and commit, one cycle is repeated."""
+    csv = L.csv_resources(pages_listing(spark, sf_dir))
+    state, files = _state_and_files(csv)
+    log = StateLog(spark, scratch_path(spark, f"state-{uuid.uuid4().hex[:12]}"), every=2)
+    # The recorded state arrives in two cycles (the second one after a snapshot), then the listing's cycle follows.
+    half = F.xxhash64("resource_id") % 2 == 0
+    done = log.commit("import-1", lambda _: state.where(half)) + log.commit("import-2", lambda _: state.where(~half))
+
+    def cycle(now):
+        c = L.classify(csv, now, files).where(F.col("action").isin("new", "updated"))
+        return c.select(F.col("id").alias("resource_id"), F.col("server_modified").alias("last_modified"))
+
+    log._write(cycle(log.read()).withColumn("last_modified", F.lit("lost")))  # written, never committed
+    done += log.commit("cycle-1", cycle) + log.commit("cycle-1", cycle)       # the second one has no effect
+    return log.read().withColumn("cycles", F.lit(done).cast("bigint"))
+
+
 @register("missing_months", f"""
 WITH {lineitem_readings_cte()},
 rr AS (SELECT CAST(sensor_id AS BIGINT) AS supplier, date_trunc('month', timestamp) AS month FROM r),

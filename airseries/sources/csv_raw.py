@@ -40,22 +40,26 @@ def clean_header(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(name), '^\ufeff?"?|"$', ""))
 
 
+def read_head(path: str, size: int) -> bytes:
+    """The first ``size`` bytes of a file, by a ranged read."""
+    if path.startswith("file:"):
+        with open("/" + path[5:].lstrip("/"), "rb") as f:
+            return f.read(size)
+    import pyarrow.fs as pafs
+    fs, rel = pafs.FileSystem.from_uri(path)
+    with fs.open_input_stream(rel) as f:
+        return f.read(size)
+
+
 def _first_lines(batches):
     """The first line of each file; ``error`` says why a file could not be read."""
     import pyarrow as pa
-    import pyarrow.fs as pafs
     for pdf in batches:
         heads, errors = [], []
         for p in pdf["path"]:
             line = error = None
             try:
-                if p.startswith("file:"):
-                    with open("/" + p[5:].lstrip("/"), "rb") as f:
-                        chunk = f.read(65536)
-                else:
-                    fs, rel = pafs.FileSystem.from_uri(p)
-                    with fs.open_input_stream(rel) as f:
-                        chunk = f.read(65536)
+                chunk = read_head(p, 65536)
                 line = chunk.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", errors="replace").lstrip("\ufeff")
             # Gone since it was listed, or a broken archive; anything else (credentials, network) ends the query.
             except (FileNotFoundError, IsADirectoryError, EOFError, pa.ArrowInvalid) as e:

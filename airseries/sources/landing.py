@@ -133,8 +133,26 @@ def next_state(classified: DataFrame, state: DataFrame) -> DataFrame:
     return kept.unionByName(touched)
 
 
-def valid_landed_files(binary: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """SC16: landed files (``binaryFile`` source) that are not HTML and hold >= 100 bytes."""
-    head = F.lower(F.substring(F.col("content").cast("string"), 1, 256))
-    html = head.contains("<!doctype html") | head.contains("<html")
-    return binary.where((F.col("length") >= F.lit(min_bytes)) & ~html).select("path", "length", "modificationTime")
+def _heads(batches):
+    import pandas as pd
+
+    from airseries.sources.csv_raw import read_head
+    for pdf in batches:
+        yield pd.DataFrame({"path": pdf["path"], "length": pdf["length"], "head": [
+            read_head(p, 256).decode("utf-8", errors="replace") for p in pdf["path"]]})
+
+
+def landed_files(spark, path: str) -> DataFrame:
+    """SC16: (path, length, valid) of every landed file; valid ones are not HTML and hold >= 100 bytes.
+
+    Lengths come from the listing, which leaves out files without bytes; only the first 256 bytes of a file are
+    read, whatever its size.
+    """
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length"))
+    heads = files.mapInPandas(_heads, "path STRING, length BIGINT, head STRING")
+    return heads.select("path", "length", valid_file(F.col("length"), F.col("head")).alias("valid"))
+
+
+def valid_file(length: Column, head: Column, min_bytes: int = 100) -> Column:
+    head = F.lower(head)
+    return (length >= F.lit(min_bytes)) & ~(head.contains("<!doctype html") | head.contains("<html"))
