@@ -37,14 +37,14 @@ def brute(rows, keys):
     return sorted(out, key=str)
 
 
-def got(spark, rows, bucket=HOUR):
-    found = V.resolve_revisits(spark.createDataFrame(rows, SCHEMA).repartition(4), bucket).collect()
+def got(spark, rows, buckets=V.BUCKETS):
+    found = V.resolve_revisits(spark.createDataFrame(rows, SCHEMA).repartition(4), buckets).collect()
     return sorted(((r["record_id"], r["status"], r["response_id"], r["payload_digest"],
                     None if r["headers"] is None else tuple(sorted(r["headers"].items()))) for r in found), key=str)
 
 
-@pytest.mark.parametrize("bucket", [1, HOUR, 10**15])
-def test_matches_brute_force(spark, bucket):
+@pytest.mark.parametrize("buckets", [(1, 1), V.BUCKETS, (HOUR, HOUR // 4), (10**15, HOUR), (10**15, 10**15)])
+def test_matches_brute_force(spark, buckets):
     rng = random.Random(9)
     keys = {"http://a.org/x": "a.org/x", "https://www.A.org/x/": "a.org/x", "http://a.org/x#f": "a.org/x",
             "http://a.org/x?utm_source=q": "a.org/x", "http://b.org/?b=1&a=2": "b.org?a=2&b=1",
@@ -59,7 +59,7 @@ def test_matches_brute_force(spark, bucket):
         rows.append((f"r{k}", url, t, "response" if full else "revisit", rng.choice([200, 200, 404]) if full else rng.choice([304, 304, 200]),
                      headers, f"d{k}" if rng.random() < 0.8 else None, "c", 1))
     rows += rows[:30]  # repeated rows
-    assert got(spark, rows, bucket) == brute(rows, keys)
+    assert got(spark, rows, buckets) == brute(rows, keys)
 
 
 def test_canonical_urls(spark):
@@ -72,3 +72,17 @@ def test_canonical_urls(spark):
 
 def test_empty(spark):
     assert got(spark, []) == []
+
+
+def test_pages_without_an_id_keep_their_captures(spark):
+    schema = "page_id long, url string, html string, record_id string, n int"
+    rows = [(None, "http://a.org/1", "x", "c", 1), (None, "http://a.org/2", None, "c", 1), (None, None, "y", "c", 1),
+            (6, "http://a.org/6", "z", "c", 1), (6, "http://a.org/6", "z", "c", 1)]
+    found = V.resolve_revisits(V.page_captures(spark.createDataFrame(rows, schema))).collect()
+    assert len(found) == 6 * len(rows)
+    mine = {r["record_id"].rsplit("-", 1)[1]: (r["status"], (r["response_id"] or "").rsplit("-", 1)[-1])
+            for r in found if r["url_key"] == "a.org/6"}
+    assert mine == {"b": ("no-earlier-response", ""), "e": ("resolved", "a"), "f": ("resolved", "a2"),
+                    "g": ("validator-mismatch", ""), "c": ("validator-mismatch", ""), "h": ("resolved", "a3")}
+    assert sum(r["record_id"].startswith("none-") for r in found) == 18
+    assert {r["status"] for r in found if r["url_key"] is None} == {"no-earlier-response"}
