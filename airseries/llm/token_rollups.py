@@ -12,6 +12,10 @@ committed batch is skipped when it comes again, and one that broke off is
 written anew over its remains. Totals read committed batches only. New
 batch ids must ascend.
 
+Every ``every`` batches ledger and sums are folded into snapshots: the last live count of each document and version, and
+the sums so far. A commit reads the last snapshot and the batches behind it, however many came before; a
+snapshot counts once Spark has marked it as complete, and one that broke off only leaves a longer tail.
+
 Of several changes to one document and version in a batch the highest ``seq``
 counts; then a delete; then the largest count, source and language. An insert of a known document replaces its count, a
 revision of an unknown one inserts it, a delete of an unknown one does nothing. Documents
@@ -40,32 +44,58 @@ _SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens lon
 class TokenRollup:
     """A rollup in the folder ``path`` (shared by driver and executors)."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, every: int = 8):
+        self.spark, self.path, self.every = spark, path.rstrip("/"), every
 
     def _folder(self, kind: str, batch: int) -> str:
         return f"{self.path}/{kind}/batch={int(batch)}"
 
-    def committed(self) -> list[int]:
-        """Ids of the committed batches, ascending."""
-        top = f"{self.path}/sums"
+    def _complete(self, kind: str) -> list[int]:
+        top = f"{self.path}/{kind}"
         store, at = pafs.FileSystem.from_uri(top if ":" in top else f"file://{top}")
         found = store.get_file_info(pafs.FileSelector(at, allow_not_found=True, recursive=True))
         return sorted(int(f.path.rsplit("/", 2)[-2].removeprefix("batch=")) for f in found if f.base_name == "_SUCCESS")
 
+    def committed(self) -> list[int]:
+        """Ids of the committed batches, ascending."""
+        return self._complete("sums")
+
+    def reads(self, kind: str, batches: list[int]) -> list[str]:
+        """Folders that hold ``kind`` up to now: the last snapshot and the committed batches behind it."""
+        last = batches[-1] if batches else -1
+        snapshots = [b for b in self._complete(f"{kind}-snapshot") if b <= last]
+        since = snapshots[-1] if snapshots else None
+        tail = [self._folder(kind, b) for b in batches if since is None or b > since]
+        return ([self._folder(f"{kind}-snapshot", since)] if snapshots else []) + tail
+
     def _read(self, kind: str, schema: str, batches: list[int]) -> DataFrame:
-        parts = [self._folder(kind, b) for b in batches]
-        if not parts:
-            return self.spark.createDataFrame([], f"{schema}, batch long")
-        reader = self.spark.read.schema(f"{schema}, batch long").option("basePath", f"{self.path}/{kind}")
-        return reader.parquet(*parts)
-
-    def _last(self, batches: list[int], touched: DataFrame) -> DataFrame:
-        """The last ledger row of the documents and versions in ``touched``."""
+        """Rows of ``kind`` with the number of their folder, later ones higher."""
+        out = self.spark.createDataFrame([], f"{schema}, batch long")
+        for k, folder in enumerate(self.reads(kind, batches)):
+            out = out.unionByName(self.spark.read.schema(schema).parquet(folder).withColumn("batch", F.lit(k).cast("long")))
+        return out
+
+    def _last(self, batches: list[int], touched: DataFrame | None = None) -> DataFrame:
+        """The last ledger row of each document and version, or of those in ``touched``."""
         keys = ["doc_id", "tokenizer"]
+        rows = self._read("ledger", _LEDGER, batches)
+        if touched is not None:
+            rows = rows.join(touched.select(*keys), keys, "left_semi")
         value = F.struct("source", "lang", "n_tokens", "live")
-        return self._read("ledger", _LEDGER, batches).join(touched.select(*keys), keys, "left_semi").groupBy(*keys).agg(
-            F.max_by(value, "batch").alias("v")).select(*keys, "v.*")
+        return rows.groupBy(*keys).agg(F.max_by(value, "batch").alias("v")).select(*keys, "v.*")
+
+    def compact(self) -> None:
+        """Fold what is committed into snapshots; a second time without a new batch changes nothing."""
+        done = self.committed()
+        if not done or len(self.reads("ledger", done)) < 2 and len(self.reads("sums", done)) < 2:
+            return
+        # A deleted document is as good as one never seen.
+        self._last(done).where("live").write.mode("overwrite").parquet(self._folder("ledger-snapshot", done[-1]))
+        self._summed(done).write.mode("overwrite").parquet(self._folder("sums-snapshot", done[-1]))
+
+    def _summed(self, batches: list[int]) -> DataFrame:
+        return self._read("sums", _SUMS, batches).groupBy(*GROUP).agg(
+            F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Apply ``changes`` (op, doc_id, source, lang, tokenizer, n_tokens, seq); False if it was applied before."""
@@ -97,12 +127,13 @@ class TokenRollup:
         signed = minus.unionByName(plus).unionByName(nameless)
         sums = signed.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         sums.write.mode("overwrite").parquet(self._folder("sums", batch))  # its success mark is the commit
+        if len(self.reads("ledger", [*done, batch])) > self.every:
+            self.compact()
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens over all committed batches; groups without documents are left out."""
-        return self._read("sums", _SUMS, self.committed()).groupBy(*GROUP).agg(
-            F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0")
+        return self._summed(self.committed()).where("n_docs <> 0")
 
 
 def without_repeated_lines(text: str) -> str:
@@ -111,7 +142,10 @@ def without_repeated_lines(text: str) -> str:
 
 
 def count_tokens(docs: DataFrame, json_path: str | None = None, multi_path: str | None = None) -> DataFrame:
-    """doc_id, source, lang, n_first, n_multi and n_revised (null where no line repeats) of every document."""
+    """doc_id, source, lang, n_first, n_multi and n_revised (null where no line repeats) of every document.
+
+    A null text is empty and has no tokens; rows without an id, and repeated rows, are counted as rows of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers

@@ -12,6 +12,7 @@ from airseries.llm import tokens
 from airseries.llm.common import shared_folder
 from airseries.llm.queries import QUERIES
 from tests.conftest import SF001
+from tests.llm import cases
 
 SCHEMA = "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long, seq long, batch string"
 
@@ -116,3 +117,54 @@ def test_query_matches_a_recount(spark):
             want[d["source"], d["lang"], name][1] += n
     got = {tuple(r[:3]): list(r[3:]) for r in QUERIES["op5_token_rollups"](spark, SF001).collect()}
     assert got == dict(want)
+
+
+def test_the_tenth_commit_reads_a_snapshot_and_its_tail(spark):
+    rollup = T.TokenRollup(spark, shared_folder(spark, "test-rollup"), every=3)
+    state, nameless = {}, []
+    for k in range(1, 11):
+        batch = [("insert", 100 * k + i, f"s{i % 2}", "en", "v1", k, 0, "x") for i in range(4)]
+        batch += [("delete", 100 * (k - 1), "s0", "en", "v1", 0, 0, "x"), ("revise", 101, "s1", "fr", "v1", k, 0, "x")]
+        assert rollup.commit(k, spark.createDataFrame(batch, SCHEMA))
+        apply(state, nameless, batch)
+        assert totals(rollup) == sums(state, nameless)
+        assert len(rollup.reads("ledger", rollup.committed())) <= 4 and len(rollup.reads("sums", rollup.committed())) <= 4
+    assert not rollup.commit(2, spark.createDataFrame(BATCHES[0], SCHEMA))  # remembered behind the snapshot
+    before = rollup.reads("ledger", rollup.committed())
+    rollup.compact()
+    rollup.compact()
+    assert len(rollup.reads("ledger", rollup.committed())) == 1 <= len(before)
+    assert totals(rollup) == sums(state, nameless)
+
+
+def test_a_snapshot_that_broke_off_is_not_read(spark):
+    path = shared_folder(spark, "test-rollup")
+    rollup = T.TokenRollup(spark, path, every=100)
+    state, nameless = {}, []
+    for k, batch in enumerate(BATCHES[:2], 1):
+        rollup.commit(k, spark.createDataFrame(batch, SCHEMA))
+        apply(state, nameless, batch)
+    spark.createDataFrame([("s0", "en", "v1", 9, 9)], "source string, lang string, tokenizer string, n_docs long, n_tokens long") \
+        .write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/sums-snapshot/batch=2")
+    assert totals(rollup) == sums(state, nameless)
+    rollup.compact()
+    assert totals(rollup) == sums(state, nameless) and len(rollup.reads("sums", [1, 2])) == 1
+
+
+def test_counts_of_awkward_documents(spark):
+    first = Tokenizer.from_file(tokens.default_json())
+    first.encode_special_tokens = True  # a special token's string in a text is ordinary text
+    multi = tiktoken.Encoding("m", pat_str=public_tokenizers.PATTERN, special_tokens={}, mergeable_ranks=tiktoken.load.load_tiktoken_bpe(
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+    def size(text):
+        return len(first.encode(text, add_special_tokens=False).ids)
+
+    want = []
+    for d, text, lang, source, *_ in cases.rows():
+        text = text or ""
+        short = "\n".join(dict.fromkeys(text.split("\n")))
+        want.append((d, source, lang, size(text), len(multi.encode_ordinary(text)), size(short) if short != text else None))
+    got = [tuple(r) for r in T.count_tokens(cases.documents(spark)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert T.count_tokens(cases.empty(spark)).count() == 0
