@@ -45,6 +45,24 @@ def test_pieces_and_places(spark, capacity):
     assert used <= least + 2
 
 
+def test_offsets_by_shuffle_when_too_large_to_broadcast(spark):
+    """The table of offsets has a row for each partition and length; beyond the threshold it is joined by shuffle."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        packed = P.pack_documents(cases.documents(spark), 256)
+        rows = packed.collect()
+        assert "BroadcastHashJoin" not in packed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows), key=str)
+    assert got == brute_pieces([(r[0], r[1]) for r in cases.rows()], 256)
+    check_places(rows, 256)
+
+
 def test_sequences_hold_the_ids(spark):
     packed = P.pack_documents(cases.documents(spark), with_ids=True)
     rows = {(r["sequence_id"]): r for r in P.sequences(packed).collect()}

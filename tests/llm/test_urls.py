@@ -63,3 +63,25 @@ def test_too_many_rules_are_an_error(monkeypatch):
 
 def test_empty(spark):
     assert U.filter_urls(frame(spark, []), U.RULES).count() == 0
+
+
+def test_a_million_entries_are_mapped_and_probed(spark, tmp_path):
+    """52 MB of file for a million rules: four 8-byte columns and the strings; a task maps it and holds none of it."""
+    import resource
+    import numpy as np
+    import pandas as pd
+    n = 1_000_000
+    data = U.DigestArray.pack(("block" if i % 3 else "allow", f"h{i}.example", "/p/") for i in range(n))
+    assert len(data) < 60 * n
+    path = tmp_path / "array"
+    path.write_bytes(data)
+    del data
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    array = U.DigestArray.mapped(str(path))
+    rng = np.random.default_rng(0)
+    picks = rng.integers(0, 2 * n, 20_000)
+    hosts = pd.Series([f"{'www.' * (i % 2)}h{i}.example" for i in picks])
+    best, _ = array.judge(hosts, pd.Series(["/p/x"] * len(picks)))
+    assert [array.string(k) if k >= 0 else None for k in best] == [f"h{i}.example/p/" if i < n else None for i in picks]
+    assert all(bool(array.verdicts[k]) == (i % 3 == 0) for i, k in zip(picks, best) if k >= 0)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 120_000  # KB, mapped pages included
