@@ -7,17 +7,17 @@ the shingles' XXH64 hashes (seed 42). Fingerprints link at ``radius`` or fewer
 differing bits, and linked ones form components.
 
 Search runs on distinct fingerprints, so copies cost one row. The 64 bits are
-cut into four blocks of 16; two fingerprints within two bits agree in at least
-two blocks, so the pairs of blocks name shards such that every link lies inside
-some shard. Each shard has a BK-tree (children keyed by integer Hamming distance
+cut into three blocks of 21 or 22; two fingerprints within two bits agree in at least
+one block, so the blocks name shards such that every link lies inside some
+shard. Each shard has a BK-tree (children keyed by integer Hamming distance
 to the parent; a search follows only edges within the radius), built and
 searched by all of the shard's fingerprints in the task that holds it: one
 vectorised forest serves the many shards of a partition. A tree is sent to
 where its queries are instead of to all tasks, because sending every shard to every
 task would be a comparison of all pairs in blocks. Shards with more than
-``hot`` fingerprints are cut again by the remaining bits, by the same pigeonhole
-argument; as its fingerprints are distinct and agree in 42 bits or more, such a shard
-has at most 2^22 rows, 64 MB. A shard passes on a star for each of its own components, never all
+``hot`` fingerprints are cut again by thirds of the remaining bits, by the same pigeonhole
+argument, and once more; as its fingerprints are distinct and agree in 44 bits or more, such a shard
+has at most 2^20 rows, 16 MB. A shard passes on a star for each of its own components, never all
 pairs, and the stars are joined into components over all shards.
 
 A component's id is its smallest doc_id. Null text is empty; rows of a null
@@ -29,18 +29,19 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airseries.llm.common import id_and_text, join_groups, written
 from airseries.llm.components import connected_components
 
-BITS, BLOCKS, RADIUS, SHINGLE, SEED = 64, 4, 2, 3, 42
+BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
+#: Times a shard is cut by a third of the bits that are left; after three a shard agrees in 44 bits or more.
+LEVELS = 3
 #: Rows of the shards that one forest holds, unless a single shard has more.
 FOREST_ROWS = 200_000
 #: A-Z to a-z on bytes.
@@ -184,32 +185,60 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
 
 # --- shards -----------------------------------------------------------------------
 
-def _block(c: Column, first: int, width: int) -> Column:
-    return F.shiftrightunsigned(c, first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+def _thirds(bits: list[int]) -> list[list[int]]:
+    """The bit numbers in three runs of nearly equal length."""
+    n, ends = len(bits), [len(bits) * k // 3 for k in range(4)]
+    return [bits[ends[k]:ends[k + 1]] for k in range(3)] if n >= 3 else [bits]
+
+
+def _mask(bits: list[int]) -> int:
+    m = sum(1 << b for b in bits)
+    return m - (1 << BITS) if m >> (BITS - 1) else m  # as a signed long
+
+
+def shard_masks(levels: int = LEVELS) -> list[dict[int, list[int]]]:
+    """For each level the masks that follow a mask (0 before the first): its bits and a third of the others.
+
+    Two fingerprints that differ in two bits at most agree in one third at least, at every level.
+    """
+    out, fixed = [], {0: []}
+    for _ in range(levels):
+        step, after = {}, {}
+        for mask, bits in fixed.items():
+            rest = [b for b in range(BITS) if b not in bits]
+            step[mask] = []
+            for third in _thirds(rest):
+                both = sorted(bits + third)
+                step[mask].append(_mask(both))
+                after[_mask(both)] = both
+        out.append(step)
+        fixed = after
+    return out
 
 
 def shards(fps: DataFrame, hot: int) -> DataFrame:
-    """(shard, fp) rows such that fingerprints within two bits share a shard."""
-    fp, width = F.col("fp"), BITS // BLOCKS
-    names = [F.struct(
-        (F.shiftleft(_block(fp, width * i, width), width).bitwiseOR(_block(fp, width * j, width))
-         + F.lit(k << 2 * width)).alias("shard"), F.lit(k).alias("pair"))
-        for k, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
-    rows = fps.select("fp", F.explode(F.array(*names)).alias("s")).select("s.shard", "s.pair", "fp")
-    crowded = written(rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("shard"),
-                      "simhash-crowded")
-    plain = rows.join(crowded, "shard", "left_anti").select("shard", "fp")
-    # The 32 bits outside a crowded shard's blocks in three parts, of which two bits leave one alike.
-    cases = []
-    for k, pair in enumerate(combinations(range(BLOCKS), 2)):
-        a, b = (x for x in range(BLOCKS) if x not in pair)
-        rest = F.shiftleft(_block(fp, width * a, width), width).bitwiseOR(_block(fp, width * b, width))
-        cases.append((k, rest))
-    rest = F.coalesce(*(F.when(F.col("pair") == k, r) for k, r in cases))
-    parts = F.array(*(F.xxhash64("shard", F.lit(i), _block(rest, first, w))
-                      for i, (first, w) in enumerate(((0, 11), (11, 11), (22, 10)))))
-    finer = rows.join(crowded, "shard", "left_semi").select(F.explode(parts).alias("shard"), "fp")
-    return plain.unionByName(finer)
+    """(shard, fp) rows such that fingerprints within two bits share a shard.
+
+    A shard is a mask and the fingerprint's bits under it; one with over ``hot`` rows is cut by further bits.
+    """
+    crowded, dealt = fps.select("fp", F.lit(0).cast("long").alias("mask")), None
+    for level, masks in enumerate(shard_masks()):
+        follows = F.create_map(*[x for m, after in masks.items() for x in (
+            F.lit(m).cast("long"), F.array(*[F.lit(a).cast("long") for a in after]))])
+        rows = crowded.select("fp", F.explode(F.element_at(follows, F.col("mask"))).alias("mask")).withColumn(
+            "shard", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+        if level == LEVELS - 1:
+            plain = rows
+        else:
+            many = written(rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("shard"),
+                           "simhash-crowded")
+            plain = rows.join(many, "shard", "left_anti")
+            crowded = rows.join(many, "shard", "left_semi").select("fp", "mask")
+        plain = plain.select("shard", "fp")
+        dealt = plain if dealt is None else dealt.unionByName(plain)
+        if level < LEVELS - 1 and many.isEmpty():
+            break
+    return dealt
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS, hot: int = 20_000) -> DataFrame:

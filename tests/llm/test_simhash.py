@@ -111,3 +111,14 @@ def test_a_wider_radius_is_refused(spark):
 def test_empty(spark):
     assert S.near_report(cases.empty(spark)).count() == 0
     assert S.drop_near_duplicates(cases.empty(spark)).count() == 0
+
+
+def test_masks_leave_no_pair_within_two_bits_apart():
+    from itertools import combinations
+    for step in S.shard_masks():
+        for mask, after in step.items():
+            free = [b for b in range(64) if not (mask >> b) & 1]
+            covered = [{b for b in free if (m >> b) & 1} for m in after]
+            assert all(any(not c & set(pair) for c in covered) for pair in combinations(free, 2))
+    deepest = S.shard_masks()[-1].values()
+    assert all(bin(m & (2**64 - 1)).count("1") >= 44 for after in deepest for m in after)
