@@ -50,9 +50,10 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # The levels count groups, not rows: a hot group is one row for each task.
     by_prefix = ["norm_len", "prefix_hash"]
-    groups = written(keys.groupBy(*by_prefix).agg(F.sum("copies").alias("n")), "dedup-prefixes")
-    lengths = groups.groupBy("norm_len").agg(F.sum("n").alias("of_len")).where("of_len > 1")
-    survivors = written(groups.join(lengths, ["norm_len"], "left_semi").where("n > 1").select(*by_prefix),
+    lengths = written(keys.groupBy("norm_len").agg(F.sum("copies").alias("n")).where("n > 1").select("norm_len"),
+                      "dedup-lengths")
+    of_length = keys.join(lengths, ["norm_len"], "left_semi")  # documents of a length of their own end here
+    survivors = written(of_length.groupBy(*by_prefix).agg(F.sum("copies").alias("n")).where("n > 1").select(*by_prefix),
                         "dedup-survivors")
     level2 = written(keys.join(survivors, by_prefix, "left_semi"), "dedup-level2")
     if digest_all:
