@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +32,33 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Run folders that are open, the innermost last.
+_RUNS: list[str] = []
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """While it is open, all tables that operators write in between lie below one folder, removed at its end.
+
+    A result that is read lazily must be written elsewhere before::
+
+        with run_folder(spark):
+            exact_dedup.drop_exact_duplicates(docs).write.parquet(path)
+    """
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/llm-run-{uuid.uuid4().hex[:12]}"
+    _RUNS.append(folder)
+    try:
+        yield folder
+    finally:
+        _RUNS.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder below ``spark.checkpoint.dir`` (or the open run folder), which all executors share."""
+    top = _RUNS[-1] if _RUNS else checkpoint_dir(spark).rstrip("/")
+    return f"{top}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -74,3 +100,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     cold = marked.where(F.col("__hot").isNull()).drop("__hot").join(
         groups.where(F.col(size) <= least), keys, "left")
     return rows.join(hot, keys).drop("__hot").select(cold.columns).unionByName(cold)
+
+
+#: Ids that are broadcast at most; one id is 8 bytes.
+BROADCAST_IDS = 4_000_000
+
+
+def only_listed(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids`` (one column ``doc_id``, null ids match nothing).
+
+    A counted list of up to ``BROADCAST_IDS`` ids goes to the texts; a longer one is joined by shuffle.
+    """
+    listed = ids.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__listed")).distinct()
+    if listed.count() <= BROADCAST_IDS:
+        listed = F.broadcast(listed)
+    return docs.join(listed, F.col(f"`{id_col}`").cast("long") == F.col("__listed"), "left_semi")
