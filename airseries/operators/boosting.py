@@ -14,8 +14,8 @@ with fewer rounds is a prefix of the same model with more, so it is scored on th
 Rows lie in blocks of numpy arrays, written once in the shared folder; a
 partition's running predictions are kept beside its blocks between rounds and
 checkpointed every ``CUT`` rounds, so a lost executor recomputes a few rounds.
-Partitions follow the number of rows (``PARTITION_ROWS``), because a round is as
-long as its slowest task and small tables gain nothing from many.
+Partitions follow the number of (row, model) pairs (``PARTITION_ROWS`` each).  Where that is one
+partition, there is nothing to add up between levels, and the same rounds run inside its task.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from airseries.operators.quantiles import order_statistics
 from airseries.session import checkpoint_dir, cut_lineage
 
 BINS = 256
-#: (row, model) pairs of one partition; rows of one block; rounds between checkpoints.
-PARTITION_ROWS, BLOCK_ROWS, CUT = 1_000_000, 10_000, 40
+#: (row, model) pairs of one partition; rounds between checkpoints.
+PARTITION_ROWS, CUT = 1_000_000, 40
 #: Smallest gain of a split and smallest number of rows in a leaf (fixed defaults of the original's library).
 LEAST_GAIN, LEAST_ROWS = 1e-6, 1.0
 TREE_SCHEMA = ("model STRING, tree INT, level INT, node INT, feature STRING, threshold DOUBLE, gain DOUBLE, "
@@ -185,48 +185,84 @@ def _split(h: np.ndarray, spec: Boosting) -> tuple[np.ndarray, ...]:
     return feature, best % gain.shape[2], np.where(feature >= 0, top, 0.0), rows, np.where(rows > 0, -g / (rows + spec.l2), 0.0)
 
 
-def fit(df: DataFrame, features: list[str], label: str, segment: str, key: list[str], specs: list[Boosting],
-        bins: int = BINS) -> tuple[DataFrame, DataFrame]:
-    """Fit all ``specs`` on ``df``; returns the trees (TREE_SCHEMA) and the scores (model, rounds, mae, n).
+def _leaves(tree: _Tree, h: np.ndarray, spec: Boosting) -> tuple[np.ndarray, ...]:
+    """Rows and values below the last splits, from the histograms these were chosen by."""
+    nodes = len(h)
+    f, b = np.maximum(tree.feature[-1], 0), tree.bin[-1]
+    at = np.arange(nodes)
+    left = h.cumsum(axis=2)[at, f, b]
+    both = np.stack([left, h.sum(axis=2)[:, 0] - left], axis=1).reshape(2 * nodes, 2)
+    rows = both[:, 1]
+    none = np.full(2 * nodes, -1)
+    return none, np.zeros(2 * nodes, np.int64), np.zeros(2 * nodes), rows, np.where(rows > 0, -both[:, 0] / (rows + spec.l2), 0.0)
 
-    Rows with a NULL feature or label are skipped.  ``key`` names the columns that tell rows apart (for subsampling).
-    """
-    spark = df.sparkSession
-    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("__y"),
-                     F.col(segment).cast("int").alias("__segment"), F.xxhash64(*key).alias("__key")).dropna()
-    rows = cut_lineage(rows)
-    n = rows.count()
-    # Edges come from rows that some model learns from; test rows have no part in them.
-    edges = bin_edges(rows.where(F.col("__segment") <= max(s.train_upto for s in specs)), features, bins)
-    blocks = cut_lineage(rows.mapInArrow(_packed(features, edges), "n int, x binary, y binary, segment binary, key binary"))
-    if not n:
-        return spark.createDataFrame([], TREE_SCHEMA), spark.createDataFrame([], "model STRING, rounds INT, mae DOUBLE, n BIGINT")
-    parts = max(1, min(blocks.rdd.getNumPartitions(), -(-n * len(specs) // PARTITION_ROWS)))
-    n_features, uptos = len(features), [s.train_upto for s in specs]
 
-    def arrays(r):
-        return (np.frombuffer(r["x"], np.uint8).reshape(r["n"], n_features), np.frombuffer(r["y"], "<f8"),
-                np.frombuffer(r["segment"], "i1"), np.frombuffer(r["key"], "<i8"))
+# --- rounds -----------------------------------------------------------------------
 
-    loaded = blocks.coalesce(parts).rdd.map(arrays)
-    sums = _summed(loaded, lambda it: sum((np.array([[y[s <= u].sum(), (s <= u).sum()] for u in uptos]) for _, y, s, _ in it),
-                                          np.zeros((len(uptos), 2))))
-    base = sums[:, 0] / np.maximum(sums[:, 1], 1.0)
-    checkpoint_dir(spark)
-    state = loaded.map(lambda b: (*b, np.tile(base[:, None], len(b[1])))).cache()
-    previous, active = None, list(range(len(specs)))
-    grown: list[list[_Tree]] = [[] for _ in specs]
-    scores: list[tuple] = []
+class _Here:
+    """Blocks in this process, with the running predictions of each model."""
+
+    def __init__(self, blocks: list, base: np.ndarray, n_features: int):
+        self.blocks = [[*b, np.tile(base[:, None], len(b[1]))] for b in blocks]
+        self.n_features = n_features
+
+    def keep(self, models: list[int]) -> None:
+        for b in self.blocks:
+            b[4] = b[4][models]
+
+    def histograms(self, specs, trees, level: int, round_: int) -> np.ndarray:
+        return _histograms(self.blocks, specs, trees, level, round_, self.n_features)
+
+    def advance(self, trees) -> None:
+        for b in self.blocks:
+            b[4] = b[4] + np.stack([_apply(b[0], t) for t in trees])
+
+    def errors(self, specs) -> np.ndarray:
+        return _errors(self.blocks, specs)
+
+
+class _Spread:
+    """The same over the partitions of an RDD of blocks: one job per histogram."""
+
+    def __init__(self, blocks, base: np.ndarray, n_features: int):
+        self.state = blocks.map(lambda b: (*b, np.tile(base[:, None], len(b[1])))).cache()
+        self.cached, self.rounds, self.n_features = [self.state], 0, n_features
+
+    def keep(self, models: list[int]) -> None:
+        self.state = self.state.map(lambda b: (*b[:4], b[4][models]))
+
+    def histograms(self, specs, trees, level: int, round_: int) -> np.ndarray:
+        n = self.n_features
+        out = _summed(self.state, lambda it: _histograms(it, specs, trees, level, round_, n))
+        while len(self.cached) > 1:  # the newest predictions have been computed from the ones before
+            self.cached.pop(0).unpersist()
+        return out
+
+    def advance(self, trees) -> None:
+        self.state = self.state.map(lambda b: (*b[:4], b[4] + np.stack([_apply(b[0], t) for t in trees]))).cache()
+        self.cached.append(self.state)
+        self.rounds += 1
+        if self.rounds % CUT == 0:
+            self.state.checkpoint()
+            self.state.count()
+
+    def errors(self, specs) -> np.ndarray:
+        return _summed(self.state, lambda it: _errors(it, specs))
+
+
+def _grow(rows, specs: list[Boosting]) -> tuple[list[list[_Tree]], list[tuple]]:
+    """All trees of all models and their scores (model, rounds, mae, n)."""
+    active, grown, scores = list(range(len(specs))), [[] for _ in specs], []
     for round_ in range(max(s.rounds for s in specs)):
-        if (stop := [m for m in active if specs[m].rounds <= round_]):
-            keep = [i for i, m in enumerate(active) if m not in stop]
-            state, active = state.map(lambda b, k=keep: (*b[:4], b[4][k])), [active[i] for i in keep]
+        keep = [i for i, m in enumerate(active) if specs[m].rounds > round_]
+        if len(keep) < len(active):
+            rows.keep(keep)
+            active = [active[i] for i in keep]
         now = [specs[m] for m in active]
-        trees = [_Tree() for _ in active]
+        trees, last = [_Tree() for _ in active], None
         for level in range(max(s.depth for s in now) + 1):
             deep = [level < s.depth for s in now]
-            if any(deep):
-                h = _summed(state, lambda it, t=trees, lv=level, sp=now, r=round_: _histograms(it, sp, t, lv, r, n_features))
+            h = rows.histograms(now, trees, level, round_) if any(deep) else None
             for i, (spec, tree) in enumerate(zip(now, trees)):
                 if deep[i]:
                     f, b, gain, count, value = _split(h[i], spec)
@@ -237,24 +273,63 @@ def fit(df: DataFrame, features: list[str], label: str, segment: str, key: list[
                 for column, x in ((tree.feature, f), (tree.bin, b), (tree.gain, gain), (tree.rows, count),
                                   (tree.value, spec.eta * value)):
                     column.append(x)
-            last = h if any(deep) else last
+            last = h
         for m, tree in zip(active, trees):
             grown[m].append(tree)
-        old = state
-        state = state.map(lambda b, t=trees: (*b[:4], b[4] + np.stack([_apply(b[0], x) for x in t]))).cache()
-        if round_ % CUT == CUT - 1:
-            state.checkpoint()
+        rows.advance(trees)
         wanted = [i for i, s in enumerate(now) if round_ + 1 in s.score_at]
         if wanted:
-            err = _summed(state, lambda it, sp=now: _errors(it, sp))
+            err = rows.errors(now)
             scores += [(now[i].name, round_ + 1, float(err[i, 0] / err[i, 1]) if err[i, 1] else None, int(err[i, 1])) for i in wanted]
-        elif round_ % CUT == CUT - 1:
-            state.count()
-        if previous is not None:  # this round's jobs have computed `old` from it
-            previous.unpersist()
-        previous = old
-    previous.unpersist()
-    state.unpersist()
+    return grown, scores
+
+
+def _base(blocks, specs) -> np.ndarray:
+    """Sum and number of the rows that each model learns from."""
+    out = np.zeros((len(specs), 2))
+    for _, y, segment, _ in blocks:
+        out += np.array([[y[segment <= s.train_upto].sum(), (segment <= s.train_upto).sum()] for s in specs])
+    return out
+
+
+def fit(df: DataFrame, features: list[str], label: str, segment: str, key: list[str], specs: list[Boosting],
+        bins: int = BINS, partition_rows: int = PARTITION_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Fit all ``specs`` on ``df``; returns the trees (TREE_SCHEMA) and the scores (model, rounds, mae, n).
+
+    Rows with a NULL feature or label are skipped.  ``key`` names the columns that tell rows apart (for subsampling).
+    """
+    spark = df.sparkSession
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("__y"),
+                     F.col(segment).cast("int").alias("__segment"), F.xxhash64(*key).alias("__key")).dropna()
+    rows = cut_lineage(rows)
+    n = rows.count()
+    # Edges come from rows that some model learns from; test rows have no part in them.
+    edges = bin_edges(rows.where(F.col("__segment") <= max(s.train_upto for s in specs)), features, bins)
+    if not n:
+        return spark.createDataFrame([], TREE_SCHEMA), spark.createDataFrame([], "model STRING, rounds INT, mae DOUBLE, n BIGINT")
+    blocks = cut_lineage(rows.mapInArrow(_packed(features, edges), "n int, x binary, y binary, segment binary, key binary"))
+    parts = max(1, min(blocks.rdd.getNumPartitions(), -(-n * len(specs) // partition_rows)))
+    n_features = len(features)
+
+    def arrays(r):
+        return (np.frombuffer(r["x"], np.uint8).reshape(r["n"], n_features), np.frombuffer(r["y"], "<f8"),
+                np.frombuffer(r["segment"], "i1"), np.frombuffer(r["key"], "<i8"))
+
+    def mean(sums):
+        return sums[:, 0] / np.maximum(sums[:, 1], 1.0)
+
+    def alone(it):
+        held = list(it)
+        base = mean(_base(held, specs))
+        return [(base, *_grow(_Here(held, base, n_features), specs))]
+
+    loaded = blocks.coalesce(parts).rdd.map(arrays)
+    if parts == 1:  # at most `partition_rows` (row, model) pairs: no sums to add up, the rounds run in the one task
+        base, grown, scores = loaded.mapPartitions(alone).collect()[0]
+    else:
+        checkpoint_dir(spark)
+        base = mean(_summed(loaded, lambda it: _base(it, specs)))
+        grown, scores = _grow(_Spread(loaded, base, n_features), specs)
     table = pd.DataFrame([r for m, s in enumerate(specs) for r in _rows(s, grown[m], float(base[m]), features, edges)],
                          columns=["model", "tree", "level", "node", "feature", "threshold", "gain", "rows", "value", "base"])
     table = table.astype(object).where(table.notna(), None)
@@ -262,18 +337,6 @@ def fit(df: DataFrame, features: list[str], label: str, segment: str, key: list[
             spark.createDataFrame(scores, "model STRING, rounds INT, mae DOUBLE, n BIGINT"))
 
 
-def _leaves(tree: _Tree, h: np.ndarray, spec: Boosting) -> tuple[np.ndarray, ...]:
-    """Rows and values below the last splits, from the histograms these were chosen by."""
-    nodes = len(h)
-    f, b = np.maximum(tree.feature[-1], 0), tree.bin[-1]
-    at = np.arange(nodes)
-    left = h.cumsum(axis=2)[at, f, b]
-    both = np.stack([left, h.sum(axis=2)[:, 0] - left], axis=1).reshape(2 * nodes, 2)
-    rows = both[:, 1]
-    none = np.full(2 * nodes, -1)
-    return none, np.zeros(2 * nodes, np.int64), np.zeros(2 * nodes), rows, np.where(rows > 0, -both[:, 0] / (rows + spec.l2), 0.0)
-
-
 def _rows(spec: Boosting, trees: list[_Tree], base: float, features: list[str], edges: dict[str, list[float]]):
     """The nodes that a row can reach; ``value`` is set in leaves."""
     for t, tree in enumerate(trees):

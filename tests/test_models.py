@@ -146,12 +146,14 @@ def _table(spark, n=160, seed=0):
     return x, y, seg, spark.createDataFrame(rows, "id LONG, a DOUBLE, b DOUBLE, c DOUBLE, y DOUBLE, seg INT").repartition(3)
 
 
-def test_boosting_equals_brute_force(spark):
+@pytest.mark.parametrize("partition_rows", [1_000_000, 100])
+def test_boosting_equals_brute_force(spark, partition_rows):
+    """Inside one task, and over partitions with a job per level."""
     from airseries.operators import boosting as B
     x, y, seg, df = _table(spark)
     specs = [B.Boosting("one", rounds=6, depth=3, eta=0.3, score_at=(6,)),
              B.Boosting("two", rounds=4, depth=2, eta=0.1, l2=5.0, score_at=(2, 4))]
-    trees, scores = B.fit(df, ["a", "b", "c"], "y", "seg", ["id"], specs, bins=16)
+    trees, scores = B.fit(df, ["a", "b", "c"], "y", "seg", ["id"], specs, bins=16, partition_rows=partition_rows)
     trees.cache()
     edges = B.bin_edges(df.where("seg = 0"), ["a", "b", "c"], 16)
     err = {(r["model"], r["rounds"]): (r["mae"], r["n"]) for r in scores.collect()}
@@ -173,7 +175,7 @@ def test_models_together_equal_models_alone(spark):
     specs = [B.Boosting("a", rounds=5, depth=3), B.Boosting("b", rounds=3, depth=4, eta=0.1, subsample=0.6)]
     both = B.fit(df, ["a", "b", "c"], "y", "seg", ["id"], specs)[0].collect()
     for s in specs:
-        alone = B.fit(df, ["a", "b", "c"], "y", "seg", ["id"], [s])[0].collect()
+        alone = B.fit(df, ["a", "b", "c"], "y", "seg", ["id"], [s], partition_rows=60)[0].collect()
         mine = [r for r in both if r["model"] == s.name]
         key = lambda r: (r["tree"], r["level"], r["node"])
         assert [(key(r), r["feature"], r["threshold"]) for r in sorted(mine, key=key)] \
