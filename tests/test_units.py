@@ -240,7 +240,7 @@ def test_csv_reader_headers_bad_lines_and_pruning(spark):
     from pyspark.sql import Observation
     obs = Observation("landing")
     r = csv_raw.read_raw(spark, d, cutoff_year=2024, observation=obs).collect()
-    assert obs.get == {"lines": 5, "dropped_lines": 1}
+    assert obs.get == {"lines": 5, "dropped_lines": 1, "unreadable_files": 0}
     r = sorted(r, key=lambda x: x["ord"])
     assert len(r) == 4
     jan = [x for x in r if x["location"] == 3966]
