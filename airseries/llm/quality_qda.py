@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airseries.llm import text_stats
-from airseries.llm.common import written
+from airseries.llm.common import only_listed, written
 from airseries.llm.quality_rules import one_label, statistics
 
 #: Columns of :func:`airseries.llm.text_stats.ratios` that the classifier uses.
@@ -164,7 +164,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", thresh
     """
     known = docs if train_docs is None else train_docs
     id_col = F.col("doc_id").cast("long")
-    known = known.where(id_col.isNotNull() & ~held_out(id_col))
+    known = only_listed(known.where(id_col.isNotNull() & ~held_out(id_col)), labels.select("doc_id"))
     model = fit(written(statistics(known, text_col=text_col), "qda-stats"), labels)
     if model is None:
         return docs

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airseries.llm import text_stats
-from airseries.llm.common import id_and_text, written
+from airseries.llm.common import id_and_text, only_listed, written
 from airseries.llm.isolation import IsolationForest
 
 #: Labelled documents that the forest is fitted on at most.
@@ -121,7 +121,9 @@ def judge(docs: DataFrame, labels: DataFrame, good_cost: float = 10.0) -> DataFr
 
 def keep_by_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", good_cost: float = 10.0) -> DataFrame:
     """The rows of ``docs`` that the rules keep, judged where they lie (texts are not shuffled)."""
-    forest, cut = fit(written(statistics(docs, text_col=text_col), "rules-stats"), labels, good_cost)
+    # Only labelled documents are looked at to fit; every document is looked at once to be judged.
+    known = only_listed(docs, labels.select("doc_id"))
+    forest, cut = fit(written(statistics(known, text_col=text_col), "rules-stats"), labels, good_cost)
 
     @F.pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:

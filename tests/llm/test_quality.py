@@ -145,3 +145,15 @@ def test_empty(spark):
         assert R.keep_by_rules(cases.empty(spark), labels).count() == 0
         assert Q.classify(cases.empty(spark), labels).count() == 0
         assert Q.keep_good(cases.empty(spark), labels).count() == 0
+
+
+def test_only_listed_rows_are_looked_at(spark, monkeypatch):
+    from airseries.llm import common
+    docs, ids = cases.documents(spark), cases.labels(spark).select("doc_id")
+    want = {r["doc_id"] for r in ids.collect()} - {None}
+    for bound in (10**6, 3):  # broadcast, and joined by shuffle
+        monkeypatch.setattr(common, "BROADCAST_IDS", bound)
+        got = common.only_listed(docs, ids)
+        assert got.columns == docs.columns
+        assert sorted(r["doc_id"] for r in got.collect()) == sorted(r[0] for r in cases.rows() if r[0] in want)
+    assert common.only_listed(docs, ids.where("false")).count() == 0
