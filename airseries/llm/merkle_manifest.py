@@ -259,17 +259,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n_chars}", "text")) + ")"
 #: CRC-32 of a short ASCII text, bit by bit.
-_CRC = ("xor(4294967295, list_reduce(list_transform(range(1, length(t) + 1), i -> CAST(ascii(t[i]) AS BIGINT)), (c, b) -> "
-        "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], (x, z) -> xor(x >> 1, 3988292384 * (x & 1))), CAST(4294967295 AS BIGINT)))")
+_CRC = ("xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(t) + 1), "
+        "lambda i: CAST(ascii(t[i]) AS BIGINT))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], "
+        "lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))")
 
 ORACLE = f"""
 WITH RECURSIVE
-d AS (
+d AS MATERIALIZED (
   SELECT row_number() OVER () AS k, doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS grp,
          {_LEAF.format(n_chars='n_chars')} AS leaf, {_LEAF.format(n_chars='(n_chars + 1)')} AS other,
          n_chars, CAST(doc_id AS VARCHAR) AS t
   FROM documents),
-p AS (
+p AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
          count(*) OVER (PARTITION BY grp) AS n_leaves,
          CASE WHEN n_chars IS NOT NULL AND t IS NOT NULL AND {_CRC} % 7 = 0 THEN other ELSE leaf END AS claimed
@@ -287,18 +288,20 @@ tree AS (
   SELECT grp, lvl, a, h FROM node WHERE n > 1
   UNION ALL
   SELECT s.grp, s.height + high.lvl, high.a, high.h FROM high, sub s WHERE high.n > 1),
+start AS (
+  SELECT p.k, p.grp, CASE WHEN sub.height = 0 THEN sub.place ELSE p.place END AS a, p.claimed AS h, sub.height, sub.place AS sub_place,
+         sub.height + (SELECT max(lvl) FROM high) AS depth
+  FROM p JOIN sub ON p.grp = sub.grp),
 fold AS (
-  SELECT k, p.grp, 0 AS lvl, place AS a, claimed AS h, '' AS proof, height + CAST((SELECT max(lvl) FROM high) AS BIGINT) AS depth,
-         height, sub.place AS sub_place FROM p JOIN sub USING (grp)
+  SELECT k, grp, CAST(0 AS BIGINT) AS lvl, CAST(a AS BIGINT) AS a, h, '' AS proof, height, sub_place, depth FROM start
   UNION ALL
-  SELECT f.k, f.grp, f.lvl + 1, CASE WHEN f.lvl + 1 = height THEN sub_place ELSE x.at // 2 END,
-         sha256(CASE WHEN s.h IS NULL THEN f.h WHEN x.at % 2 = 0 THEN f.h || s.h ELSE s.h || f.h END),
-         f.proof || coalesce(s.h, ''), depth, height, sub_place
-  FROM (SELECT *, CASE WHEN lvl = 0 AND height = 0 THEN sub_place ELSE a END AS at FROM fold WHERE lvl < depth) f
-       CROSS JOIN LATERAL (SELECT f.at AS at) x
-       LEFT JOIN tree s ON s.grp = f.grp AND s.lvl = f.lvl AND s.a = xor(x.at, 1)),
+  SELECT f.k, f.grp, f.lvl + 1, CASE WHEN f.lvl + 1 = f.height THEN f.sub_place ELSE f.a // 2 END,
+         sha256(CASE WHEN s.h IS NULL THEN f.h WHEN f.a % 2 = 0 THEN f.h || s.h ELSE s.h || f.h END),
+         f.proof || coalesce(s.h, ''), f.height, f.sub_place, f.depth
+  FROM fold f LEFT JOIN tree s ON s.grp = f.grp AND s.lvl = f.lvl AND s.a = xor(f.a, 1)
+  WHERE f.lvl < f.depth),
 done AS (SELECT k, h AS folded_root, proof FROM fold WHERE lvl = depth),
 r AS (SELECT h AS root FROM high WHERE n = 1)
-SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
-FROM p JOIN sub USING (grp) JOIN done USING (k), r
+SELECT p.doc_id, p.leaf, sub.subroot, r.root, sha256(done.proof) AS proof_sha256, done.folded_root, done.folded_root = r.root AS verified
+FROM p JOIN sub ON p.grp = sub.grp JOIN done ON p.k = done.k, r
 """
