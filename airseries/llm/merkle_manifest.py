@@ -33,7 +33,7 @@ from airseries.llm.common import written
 
 FANOUT = 2
 #: Levels of the tree inside one partition of leaves.
-BLOCK_LEVELS = 12
+BLOCK_LEVELS = 10
 #: Rows of one range when leaves are ranked.
 RANK_ROWS = 1_000_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -124,19 +124,20 @@ def butterfly(nodes: DataFrame, fanout: int, most: int) -> DataFrame:
     size = 1
     while size < most:
         # A node's subtree has number `sub` and `size` members, the last one fewer; it holds the same digest in all of them.
+        # What a node keeps and what it sends come from one pass over the state, so that the plan grows by one shuffle a round.
         state = state.withColumn("sub", F.expr(f"at div {size}")).withColumn("subs", F.expr(f"(n + {size - 1}) div {size}"))
-        run = F.expr(f"sequence(sub div {fanout} * {fanout}, least(sub div {fanout} * {fanout} + {fanout - 1}, subs - 1))")
-        sends = state.where("subs > 1").withColumn("peer", F.explode(F.filter(run, lambda p: p != F.col("sub"))))
-        # Members l, l + mine, l + 2 mine, ... of the peer's subtree hear from member l of this one.
-        sends = sends.selectExpr("grp", "digest", f"cast(sub % {fanout} as int) as place", f"peer * {size} as start",
-                                 f"at - sub * {size} as l", f"least({size}, n - sub * {size}) as mine",
-                                 f"least({size}, n - peer * {size}) as theirs").where("l < theirs")
-        sent = sends.select("grp", F.explode(F.expr("sequence(start + l, start + theirs - 1, mine)")).alias("at"),
-                            F.struct("place", "digest").alias("member"), F.lit(None).cast("long").alias("n"),
-                            F.lit(None).cast(_STEPS).alias("steps"))
-        own = state.select("grp", "at", F.struct(F.expr(f"cast(sub % {fanout} as int)").alias("place"), "digest").alias("member"),
-                           "n", "steps")
-        met = own.unionByName(sent).groupBy("grp", "at").agg(
+        peers = (f"filter(sequence(sub div {fanout} * {fanout}, least(sub div {fanout} * {fanout} + {fanout - 1}, subs - 1)), "
+                 "p -> p != sub)")
+        # Members l, l + mine, l + 2 mine, ... of a peer's subtree hear from member l of this one.
+        place_in, mine, theirs = f"(at - sub * {size})", f"least({size}, n - sub * {size})", f"least({size}, n - p * {size})"
+        heard = (f"if({place_in} < {theirs}, sequence(p * {size} + {place_in}, p * {size} + {theirs} - 1, {mine}), "
+                 "cast(array() as array<bigint>))")
+        rows = (f"concat(array(struct(at as to, n as n, steps as steps)), transform(flatten(transform({peers}, p -> {heard})), "
+                f"d -> struct(d as to, cast(null as bigint) as n, cast(null as {_STEPS}) as steps)))")
+        sent = state.select("grp", F.struct(F.expr(f"cast(sub % {fanout} as int)").alias("place"), "digest").alias("member"),
+                            F.explode(F.expr(rows)).alias("r"))
+        sent = sent.select("grp", F.col("r.to").alias("at"), "member", F.col("r.n").alias("n"), F.col("r.steps").alias("steps"))
+        met = sent.groupBy("grp", "at").agg(
             F.max("n").alias("n"), F.first("steps", ignorenulls=True).alias("steps"),
             F.sort_array(F.collect_list("member")).alias("run"))  # `fanout` members at most
         place = F.expr(f"cast(at div {size} % {fanout} as int)")
