@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from airseries.operators.chunks import CHUNK_ROWS, lag_products
+from airseries.session import cut_lineage
 
 
 def with_position(df: DataFrame, key: str = "location", ts: str = "timestamp") -> DataFrame:
@@ -86,7 +87,8 @@ def acf(df: DataFrame, col: str = "P2", nlags: int = 48, key: str = "location",
     NULL rows are dropped first (positions close up).  Lag products are summed
     over chunks with halos, so no window holds a whole series.
     """
-    x = df.where(F.col(col).isNotNull()).select(key, ts, col)
+    # Read for the mean, the counts and the products: computed once.
+    x = cut_lineage(df.where(F.col(col).isNotNull()).select(key, ts, col))
     mean = x.groupBy(F.col(key).alias("_k")).agg(F.avg(col).alias("_m"))
     x = x.join(mean, F.col(key).eqNullSafe(F.col("_k"))).select(key, ts, (F.col(col) - F.col("_m")).alias("_c"))
     agg = lag_products(x, "_c", nlags, key, ts, chunk_rows)
