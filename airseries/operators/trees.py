@@ -49,15 +49,16 @@ def fit_or_load(spark: SparkSession, path: str | None, fit, force: bool = False)
     return sinks.load_or_fit(spark, path, fit, force) if path else fit()
 
 
-def one_step_eval(series: DataFrame, features, spec: B.Boosting, label: str = "P2", model_path: str | None = None):
-    """Fit on every location's first 80 %, score the last 20 % with true lags."""
+def one_step_eval(series: DataFrame, features, spec: B.Boosting, label: str = "P2", model_path: str | None = None,
+                  rounds: int | None = None):
+    """Fit on every location's first 80 %, score the last 20 % with true lags (by the first ``rounds`` trees)."""
     s = split_80_20(series).withColumn("_segment", F.when(F.col("is_train"), 0).otherwise(1))
     trees = fit_or_load(series.sparkSession, model_path, lambda: B.fit(
         s, list(features), label, "_segment", ["location", "timestamp"], [spec])[0])
     nodes = trees.where(F.col("model") == spec.name).collect()  # rounds x 2^(depth + 1) rows at most
     test = s.where(~F.col("is_train")).where(F.col(label).isNotNull()).dropna(subset=list(features))
     return trees, test.select("location", "timestamp", F.col(label).alias("actual"),
-                              B.predicted(nodes, list(features)).alias("predicted"))
+                              B.predicted(nodes, list(features), rounds).alias("predicted"))
 
 
 def expanding_segments(series: DataFrame, n_splits: int) -> DataFrame:

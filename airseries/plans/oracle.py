@@ -7,7 +7,7 @@ second engine can check every registered query.
 from __future__ import annotations
 
 from airseries.functions.constants import NUMERIC_COLS
-from airseries.sources.readings import events_readings_sql, lineitem_readings_sql
+from airseries.sources.readings import events_readings_sql, lineitem_readings_sql, lineitem_wide_readings_sql
 
 
 def r6(expr: str, alias: str) -> str:
@@ -18,8 +18,8 @@ def readings_cte(dense: bool = True, name: str = "r") -> str:
     return f"{name} AS ({events_readings_sql(dense)})"
 
 
-def lineitem_readings_cte(name: str = "r") -> str:
-    return f"{name} AS ({lineitem_readings_sql()})"
+def lineitem_readings_cte(name: str = "r", wide: bool = False) -> str:
+    return f"{name} AS ({lineitem_wide_readings_sql() if wide else lineitem_readings_sql()})"
 
 
 def to_double_sql(expr: str) -> str:

@@ -104,3 +104,10 @@ def lineitem_readings_sql() -> str:
         "CAST(((l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey) * 4096 + l_suppkey AS BIGINT) AS ord "
         "FROM lineitem"
     )
+
+
+def lineitem_wide_readings_sql() -> str:
+    base = lineitem_readings_sql()
+    return " UNION ALL ".join([base, *(
+        base.replace("'P2' AS", f"'{name}' AS").replace("CAST(l_quantity AS", f"CAST(l_{column} * 100 AS")
+        for name, column in (("temperature", "discount"), ("humidity", "tax")))])
