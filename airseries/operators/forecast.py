@@ -183,7 +183,7 @@ def _stats(train: DataFrame, spec: AdditiveSpec, ts: str, y: str) -> DataFrame:
     for c in spec.lag_cols:
         aggs += [F.avg(c).alias(f"mu_{c}"), F.stddev_pop(c).alias(f"sd_{c}")]
     st = train.groupBy("model_key").agg(*aggs)
-    cps = F.array(*[F.lit(spec.cp_range * j / spec.n_cp) for j in range(1, spec.n_cp + 1)])
+    cps = F.array(*[F.lit(spec.cp_range * j / spec.n_cp) for j in range(1, spec.n_cp + 1)]).cast("array<double>")
     return (st.withColumn("cps", cps)
             .withColumn("y_scale", F.when(F.col("y_scale") > 0, F.col("y_scale")).otherwise(F.lit(1.0)))
             .withColumn("lag_mu", F.array(*[F.col(f"mu_{c}") for c in spec.lag_cols]).cast("array<double>"))

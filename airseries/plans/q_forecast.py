@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from airseries.functions.constants import TARGET_LAGS
+from airseries.functions.constants import MAE_QUALITY, TARGET_LAGS
 from airseries.operators import forecast as FC
 from airseries.operators import hourly as H
 from airseries.operators import seasonal as S
 from airseries.operators.features import add_features, next_row_target
 from airseries.operators.filters import last_n_hours
-from airseries.plans.oracle import hourly_chain, hourly_cte, lineitem_readings_cte, pivot_cte, r6
+from airseries.plans.oracle import features_cte, hourly_chain, hourly_cte, lineitem_readings_cte, pivot_cte, r6
 from airseries.plans.registry import register
 from airseries.session import cut_lineage
 from airseries.sources import sinks
@@ -267,3 +268,153 @@ def fourier_variants(spark, sf_dir):
                                          F.sqrt(F.avg(F.pow(e, 2))).alias("rmse")).withColumn("variant", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out
+
+
+# ------------------------------------- additive models that SQL can solve
+# Up to four coefficients, so that the oracle solves the normal equations by
+# determinants: one lag (M2), a weather regressor (M7), a weekly term (M8).
+def _small(lag_cols, weekly_order=0):
+    return FC.AdditiveSpec(lag_cols, n_changepoints=0, daily_order=0, weekly_order=weekly_order)
+
+
+SMALL_MODELS = {"lag": _small(["P2_lag_1"]), "lag_temperature": _small(["P2_lag_1", "temperature"]),
+                "lag_humidity": _small(["P2_lag_1", "humidity"]), "weekly": _small([], weekly_order=1)}
+
+
+def _small_training(spark, sf_dir, feats, spec):
+    extra = [c for c in spec.lag_cols if c not in TARGET_LAGS["P2"]]
+    return _training(spark, sf_dir, extra=extra, feats=feats)
+
+
+def _determinant(rows: list[list[str]]) -> str:
+    if len(rows) == 1:
+        return rows[0][0]
+    return "(" + " ".join(f"{'-' if j % 2 else '+'} {x} * {_determinant([r[:j] + r[j + 1:] for r in rows[1:]])}"
+                          for j, x in enumerate(rows[0])) + ")"
+
+
+def _small_sql(name: str, train: str = "is_train") -> str:
+    """CTEs of one small model: {name}_x (design rows), {name}_b (coefficients), {name}_p (predictions of all rows)."""
+    spec = SMALL_MODELS[name]
+    extra = [c for c in spec.lag_cols if c not in TARGET_LAGS["P2"]]
+    d, ridge = spec.d, spec.penalties()[0]
+    full = " AND ".join(f"{c} IS NOT NULL" for c in ["P2", *TARGET_LAGS["P2"], *extra])
+    x = ["1.0", "(epoch(ds) - t0) / greatest(t1 - t0, 1.0)"]
+    x += [f"{f}(2 * pi() * {k} / 7.0 * epoch(ds) / 86400.0)" for k in range(1, spec.wo + 1) for f in ("sin", "cos")]
+    x += [f"({c} - mu_{c}) / sd_{c}" for c in spec.lag_cols]
+    scaling = "".join(f", avg({c}) AS mu_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END AS sd_{c}"
+                      for c in spec.lag_cols)
+    sums = ", ".join([f"sum(x{i} * x{j}) + {float(ridge[i]) if i == j else 0.0!r} * count(*) AS s{min(i, j)}{max(i, j)}"
+                      for i in range(d) for j in range(i, d)] + [f"sum(x{i} * y / y_scale) AS v{i}" for i in range(d)])
+    quad = [[f"s{min(i, j)}{max(i, j)}" for j in range(d)] for i in range(d)]
+    solved = ", ".join(f"{_determinant([[f'v{i}' if j == k else quad[i][j] for j in range(d)] for i in range(d)])} "
+                       f"/ {_determinant(quad)} AS b{k}" for k in range(d))
+    keep = ", ".join(["t0", "t1", "y_scale", *(f"{a}_{c}" for c in spec.lag_cols for a in ("mu", "sd"))])
+    return f"""
+{name}_m AS (SELECT * FROM (SELECT location, timestamp AS ds, lead(P2, 1) OVER w AS y, {', '.join(dict.fromkeys(['P2', *spec.lag_cols]))}
+             FROM f WHERE {full} WINDOW w AS (PARTITION BY location ORDER BY timestamp)) WHERE y IS NOT NULL),
+{name}_h AS (SELECT *, row_number() OVER (PARTITION BY location ORDER BY ds) <= count(*) OVER (PARTITION BY location) - 168 AS is_train
+             FROM {name}_m),
+{name}_s AS (SELECT location, min(epoch(ds)) AS t0, max(epoch(ds)) AS t1, count(*) AS n_train,
+                    CASE WHEN max(abs(y)) > 0 THEN max(abs(y)) ELSE 1.0 END AS y_scale{scaling}
+             FROM {name}_h WHERE {train} GROUP BY location),
+{name}_x AS (SELECT h.location, ds, y, is_train, n_train, {', '.join(f'{e} AS x{i}' for i, e in enumerate(x))}, {keep}
+             FROM {name}_h h JOIN {name}_s USING (location)),
+{name}_q AS (SELECT location, n_train, {keep}, {sums} FROM {name}_x WHERE {train} GROUP BY ALL),
+{name}_b AS (SELECT location, n_train, {keep}, {solved} FROM {name}_q),
+{name}_p AS (SELECT x.location, x.ds, x.y, x.is_train, b.n_train, b.y_scale * ({' + '.join(f'b{i} * x{i}' for i in range(d))}) AS yhat
+             FROM {name}_x x JOIN {name}_b b USING (location))"""
+
+
+_SMALL_CHAIN = f"WITH RECURSIVE {lineitem_readings_cte(wide=True)}, {pivot_cte()}, {hourly_cte()}, {features_cte()},"
+_QUALITY_SQL = "CASE " + " ".join(f"WHEN mae < {bound} THEN '{label}'" if bound is not None else f"ELSE '{label}'"
+                                  for bound, label in MAE_QUALITY) + " END"
+
+
+@register("small_models", _SMALL_CHAIN + ",".join(_small_sql(name) for name in SMALL_MODELS) + f""",
+ps AS (SELECT *, row_number() OVER (PARTITION BY location ORDER BY timestamp) AS rn, count(*) OVER (PARTITION BY location) AS n FROM h),
+pf AS (SELECT *, avg(CASE WHEN rn <= floor(0.8 * n) AND rn > floor(0.8 * n) - 24 THEN P2 END) OVER (PARTITION BY location) AS fb FROM ps),
+nv AS (SELECT e.location, avg(abs(e.P2 - CASE WHEN t.timestamp IS NOT NULL THEN t.P2 ELSE e.fb END)) AS naive_mae
+       FROM pf e LEFT JOIN pf t ON t.location = e.location AND t.timestamp = e.timestamp - INTERVAL 24 HOUR AND t.rn <= floor(0.8 * t.n)
+       WHERE e.rn > floor(0.8 * e.n) GROUP BY 1),
+mt AS ({' UNION ALL '.join(f"""SELECT '{name}' AS variant, location, n_train, avg(abs(y - yhat)) AS mae,
+       sqrt(avg((y - yhat) * (y - yhat))) AS rmse, stddev_pop(y - yhat) AS residual_std
+       FROM {name}_p WHERE NOT is_train GROUP BY ALL""" for name in SMALL_MODELS)})
+SELECT variant, location, CAST(n_train AS BIGINT) AS n_train, {r6('mae', 'mae')}, {r6('rmse', 'rmse')}, {r6('residual_std', 'residual_std')},
+       {_QUALITY_SQL} AS quality, {r6('naive_mae', 'naive_mae')}, {r6('(naive_mae - mae) / naive_mae * 100', 'improvement_pct')}
+FROM mt LEFT JOIN nv USING (location)
+""")
+def small_models(spark, sf_dir):
+    """M2 + M3 + M7 + M8 + A33 + X27: additive models of few terms (lag, weather, weekly), fitted per
+    location, errors on the last 168 rows beside the seasonal-naive baseline."""
+    naive = S.error_metrics(S.seasonal_naive(_model_series(spark, sf_dir), "P2")).select("location", F.col("mae").alias("naive_mae"))
+    feats = cut_lineage(add_features(_model_series(spark, sf_dir)))
+    out = None
+    for name, spec in SMALL_MODELS.items():
+        model, test = _holdout_fit(spark, sf_dir, spec, training=_small_training(spark, sf_dir, feats, spec))
+        m = (S.error_metrics(test, "y", "yhat").drop("n_eval").withColumn("variant", F.lit(name))
+             .withColumn("model_key", F.concat(F.lit("P2@"), F.col("location").cast("string")))
+             .join(model.select("model_key", "n_train"), "model_key").drop("model_key"))
+        out = m if out is None else out.unionByName(m)
+    return (out.withColumn("quality", FC.mae_quality(F.col("mae"))).join(naive, "location", "left")
+            .withColumn("improvement_pct", S.improvement_pct(F.col("naive_mae"), F.col("mae"))))
+
+
+@register("small_model_record", _SMALL_CHAIN + _small_sql("lag_temperature") + f"""
+SELECT location, CAST(row_number() OVER (PARTITION BY location ORDER BY ds) AS BIGINT) AS point, ds,
+       {r6('y', 'actual')}, {r6('yhat', 'predicted')} FROM lag_temperature_p WHERE NOT is_train
+""")
+def small_model_record(spark, sf_dir):
+    """M1 + M3 + M16: the evaluation record of a fitted model: actual and predicted value of each hold-out row."""
+    spec = SMALL_MODELS["lag_temperature"]
+    model, test = _holdout_fit(spark, sf_dir, spec,
+                               training=_small_training(spark, sf_dir, add_features(_model_series(spark, sf_dir)), spec))
+    record = _metrics(test, spec, model)
+    points = record.select("location", F.posexplode(F.arrays_zip("test_actual", "test_predicted")).alias("i", "p"))
+    times = test.select("location", "ds", (F.row_number().over(
+        Window.partitionBy("location").orderBy("ds")) - 1).alias("i"))
+    return points.join(times, ["location", "i"]).select(
+        "location", (F.col("i") + 1).alias("point"), "ds", F.col("p.test_actual").alias("actual"), F.col("p.test_predicted").alias("predicted"))
+
+
+@register("small_model_importance", _SMALL_CHAIN + _small_sql("lag_temperature") + f"""
+SELECT 'P2@' || CAST(location AS VARCHAR) AS model_key, 'P2_lag_1' AS feature, {r6('abs(b2) * y_scale', 'importance')} FROM lag_temperature_b
+UNION ALL
+SELECT 'P2@' || CAST(location AS VARCHAR), 'temperature', {r6('abs(b3) * y_scale', 'importance')} FROM lag_temperature_b
+""")
+def small_model_importance(spark, sf_dir):
+    """M14 + X38: standardised importances of a fitted model as rows."""
+    spec = SMALL_MODELS["lag_temperature"]
+    model, _ = _holdout_fit(spark, sf_dir, spec,
+                            training=_small_training(spark, sf_dir, add_features(_model_series(spark, sf_dir)), spec))
+    return FC.importance(model, spec)
+
+
+_TRANSFER_STEPS = 168
+
+
+@register("small_model_transfer", _SMALL_CHAIN + _small_sql("lag", train="location = 0") + f""",
+ff AS (SELECT location, timestamp, last_value(P2 IGNORE NULLS) OVER
+         (PARTITION BY location ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM h),
+la AS (SELECT location, max(timestamp) AS last_ts, arg_max(v, timestamp) AS v FROM ff GROUP BY location),
+rec(location, last_ts, step, v) AS (
+  SELECT location, last_ts, 0, v FROM la
+  UNION ALL
+  SELECT r.location, r.last_ts, r.step + 1, greatest(0.0, y_scale * (b0
+         + b1 * (epoch(r.last_ts + (r.step + 1) * INTERVAL 1 HOUR) - t0) / greatest(t1 - t0, 1.0) + b2 * (r.v - mu_P2_lag_1) / sd_P2_lag_1))
+  FROM rec r, lag_b WHERE r.step < {_TRANSFER_STEPS}),
+fc AS (SELECT location, CAST(step AS BIGINT) AS step, last_ts + step * INTERVAL 1 HOUR AS timestamp, v AS predicted,
+              1.96 * {_RS} * (1 + 0.04 * least(step - 1, 100)) AS ci FROM rec WHERE step > 0)
+SELECT location, step, timestamp, {r6('predicted', 'predicted')}, {r6('greatest(0.0, predicted - ci)', 'lower')},
+       {r6('predicted + ci', 'upper')} FROM fc
+""")
+def small_model_transfer(spark, sf_dir):
+    """J9 + M2 + M4: the model fitted on location 0 forecasts every location, 168 steps."""
+    spec = SMALL_MODELS["lag"]
+    t = _small_training(spark, sf_dir, add_features(_model_series(spark, sf_dir)), spec)
+    model = FC.fit_additive(t.where(F.col("location") == 0).withColumn("model_key", F.lit("P2")), spec)
+    hist = FC.history_arrays(_model_series(spark, sf_dir), "P2", _TRANSFER_STEPS)
+    # The model table holds one row: a proven size bound, so broadcast.
+    j = hist.withColumn("model_key", F.lit("P2")).join(F.broadcast(model), "model_key")
+    base_fn, weights = FC.additive_base_and_weights(spec, [1])
+    return FC.recursive_forecast(j, _TRANSFER_STEPS, base_fn, weights, FC.residual_std_or_default(F.lit(None), F.lit(FIXED_MAE)))
