@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from airseries.operators.hourly import manifest
 from airseries.session import shared_root
+from airseries.sources.state_log import rename_new
 
 
 def write_series(features: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -60,9 +62,19 @@ def export_two_columns(df: DataFrame, ts_col: str, value_col: str, path: str,
       .write.mode("overwrite").option("header", True).csv(path)
 
 
-def save_table(df: DataFrame, path: str) -> None:
-    """SC17: persist a model / metrics table."""
-    df.write.mode("overwrite").parquet(path)
+def save_table(df: DataFrame, path: str, replace: bool = False) -> bool:
+    """SC17: persist a model / metrics table in one step: written aside, then renamed.
+
+    A run that stops before the rename leaves nothing at ``path``.  If another run
+    was first, its table stays and this returns False, unless ``replace`` is set.
+    """
+    spark = df.sparkSession
+    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    if replace:
+        old = spark._jvm.org.apache.hadoop.fs.Path(path)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return rename_new(spark, aside, path)
 
 
 def content_key(spark: SparkSession, inputs: list[str], params: dict) -> str:
@@ -94,6 +106,7 @@ def load_or_fit(spark: SparkSession, path: str, fit, force: bool = False) -> Dat
     """Reuse the persisted table when present, else (or with ``force``) fit, save and return it.
 
     Only a path that does not exist counts as absent; a table that cannot be read is an error.
+    Of runs that fit at the same time the first to finish is kept, and all return its table.
     """
     if not force:
         try:
@@ -101,7 +114,7 @@ def load_or_fit(spark: SparkSession, path: str, fit, force: bool = False) -> Dat
         except AnalysisException as e:
             if not is_absent(e):
                 raise
-    save_table(fit(), path)
+    save_table(fit(), path, replace=force)
     return spark.read.parquet(path)
 
 

@@ -22,6 +22,24 @@ from pyspark.sql import functions as F
 STATE_SCHEMA = "resource_id STRING, last_modified STRING"
 
 
+def rename_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file or folder in one step; if the target exists, False, and the source is removed."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    src, dst = (jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    fs = dst.getFileSystem(conf)
+    src, dst = fs.makeQualified(src), fs.makeQualified(dst)
+    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(dst.toUri(), conf).rename(src, dst, none)
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+            raise
+        fs.delete(src, True)
+        return False
+
+
 class StateLog:
     """The log under ``root`` (any path that Spark can open)."""
 
@@ -50,22 +68,11 @@ class StateLog:
 
     def _create(self, version: int, entry: dict) -> bool:
         """False if this version exists.  The content is written aside; renaming it commits and never replaces a file."""
-        path, fs = self._path(f"{version:012d}.json")
-        aside, _ = self._path(f"_{uuid.uuid4().hex}")
+        aside, fs = self._path(f"_{uuid.uuid4().hex}")
         out = fs.create(aside, False)
         out.write(bytearray(json.dumps(entry).encode()))
         out.close()
-        jvm = self.spark._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration())
-        none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            context.rename(aside, path, none)
-            return True
-        except Py4JJavaError as e:
-            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
-                raise
-            fs.delete(aside, False)
-            return False
+        return rename_new(self.spark, str(aside.toString()), f"{self.root}/log/{version:012d}.json")
 
     def _tail(self) -> list[tuple[int, dict]]:
         """The last snapshot and what follows it, oldest first."""

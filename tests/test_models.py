@@ -100,6 +100,28 @@ def test_only_an_absent_model_is_fitted(spark, tmp_path):
     assert len(fits) == 2
 
 
+def test_a_model_is_kept_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/models/m"
+
+    def cut_off(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "rename_new", cut_off)
+        with pytest.raises(KeyboardInterrupt):
+            sinks.load_or_fit(spark, path, lambda: spark.range(3))
+    assert sinks.load_or_fit(spark, path, lambda: spark.range(4)).count() == 4
+
+    raced = f"{tmp_path}/models/raced"
+
+    def slower():  # another run finishes its fit first
+        assert sinks.load_or_fit(spark, raced, lambda: spark.range(1)).count() == 1
+        return spark.range(2)
+
+    assert sinks.load_or_fit(spark, raced, slower).count() == 1
+    assert not list((tmp_path / "models").glob("raced.*"))
+
+
 def test_model_queries(spark):
     got = {r["request"]: r["fits"] for r in E.queries()["model_reuse"](spark, SF001).collect()}
     assert got == {"first": 1, "again": 1, "other parameters": 2, "new data": 3, "forced": 4}
