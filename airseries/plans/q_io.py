@@ -82,16 +82,16 @@ def manifest_json(spark, sf_dir):
 
 @register("export_two_columns", f"""
 WITH {hourly_chain()}
-SELECT CAST(timestamp AS VARCHAR) AS "Date", round(P2, 6) AS "Valeur" FROM h WHERE location = 0
+SELECT location, CAST(timestamp AS VARCHAR) AS "Date", round(P2, 6) AS "Valeur" FROM h
 """)
 def export_two_columns(spark, sf_dir):
-    """SC13: two renamed columns exported as CSV, read back as text."""
+    """SC13: two renamed columns of every location exported as CSV, a folder each, read back as text."""
     path = _scratch(spark, "export")
-    h = H.hourly_wide(events_readings(spark, sf_dir)).where(F.col("location") == 0)
+    h = H.hourly_wide(events_readings(spark, sf_dir))
     sinks.export_two_columns(h.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")),
-                             "timestamp", "P2", path)
-    back = spark.read.option("header", True).schema("Date STRING, Valeur STRING").csv(path)
-    return back.select("Date", F.col("Valeur").cast("double").alias("Valeur"))
+                             "timestamp", "P2", path, by="location")
+    back = spark.read.option("header", True).schema("Date STRING, Valeur STRING, location BIGINT").csv(path)
+    return back.select("location", "Date", F.col("Valeur").cast("double").alias("Valeur"))
 
 
 @register("landed_file_gate", f"""

@@ -56,10 +56,11 @@ def export_families(families: dict[str, DataFrame], path: str) -> None:
 
 
 def export_two_columns(df: DataFrame, ts_col: str, value_col: str, path: str,
-                       names=("Date", "Valeur")) -> None:
-    """SC13: two columns, renamed, as CSV with header."""
-    df.select(F.col(ts_col).alias(names[0]), F.col(value_col).alias(names[1])) \
-      .write.mode("overwrite").option("header", True).csv(path)
+                       names=("Date", "Valeur"), by: str | None = None) -> None:
+    """SC13: two columns, renamed, as CSV with header; one folder per value of ``by``."""
+    columns = [F.col(ts_col).alias(names[0]), F.col(value_col).alias(names[1])]
+    out = df.select(*columns, *([by] if by else [])).write.mode("overwrite").option("header", True)
+    (out.partitionBy(by) if by else out).csv(path)
 
 
 def save_table(df: DataFrame, path: str, replace: bool = False) -> bool:
