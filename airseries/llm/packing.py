@@ -170,6 +170,39 @@ def solve(counts: np.ndarray, capacity: int) -> Counter[Pattern]:
     return best
 
 
+def least_sequences(counts: np.ndarray, capacity: int, rounds: int = 200, step: float = 0.2) -> int:
+    """A number of sequences that no packing can go below (0 without pieces).
+
+    It is the dual of the configuration program: if no configuration weighs more than 1, the
+    weights of all pieces together are a bound, whatever the weights. Tried are the lengths
+    themselves with those over ``capacity - a`` rounded up to a sequence and those under ``a``
+    left out, for every ``a``, and then multiplicative steps from the best of these: the
+    knapsack program finds the heaviest configuration, which scales the weights, and the
+    lengths it covers lose weight.
+    """
+    total = counts.astype(float)
+    total[0] = 0.0
+    if not total.any():
+        return 0
+    lengths = np.arange(capacity + 1)
+
+    def cut(a: int) -> np.ndarray:
+        return np.where(lengths > capacity - a, 1.0, np.where(lengths >= a, lengths / capacity, 0.0))
+
+    bounds = [float(total @ cut(a)) for a in range(capacity // 2 + 1)]
+    bound, weight = max(bounds), cut(int(np.argmax(bounds)))
+    weight = np.where(total > 0, np.maximum(weight, lengths / capacity / 2), 0.0)
+    for _ in range(rounds):
+        weight /= weight.max()
+        best, pick = _price(weight, capacity)
+        bound = max(bound, float(total @ weight) / best[capacity])
+        config = _configuration(pick, capacity, 0)
+        ks = np.array([k for k in config if k], dtype=np.int64)
+        share = np.array([config[k] for k in ks]) / total[ks]
+        weight[ks] *= np.exp(-step * share / share.max())
+    return int(np.ceil(bound * (1 - 1e-9) - 1e-6))  # rounding errors must not raise it
+
+
 def slot_table(plan: Counter[Pattern], capacity: int) -> dict[str, np.ndarray]:
     """Where the slots of each length lie, ordered by length, as parallel arrays.
 

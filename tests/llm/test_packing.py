@@ -103,6 +103,52 @@ def test_plan_covers_exactly_and_is_no_worse_than_best_fit(seed):
     assert sum(plan.values()) <= best_fit_decreasing(counts, capacity)
 
 
+def fewest(pieces, capacity):
+    """The least number of sequences, by trying all placements."""
+    pieces = sorted(pieces, reverse=True)
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= pieces[i]:
+                rest = list(rooms)
+                rest[rest.index(room)] -= pieces[i]
+                place(i + 1, rest)
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plan_and_bound_beside_the_optimum(seed):
+    rng = np.random.default_rng(seed)
+    low, high = [(1, 101), (20, 61), (30, 55), (34, 52)][seed % 4]
+    pieces = rng.integers(low, high, 11).tolist()
+    counts = np.bincount(pieces, minlength=101)
+    optimum, plan, bound = fewest(pieces, 100), P.solve(counts, 100), P.least_sequences(counts, 100)
+    assert bound <= optimum <= sum(plan.values()) <= optimum + 1
+    assert bound >= -(-sum(pieces) // 100)
+
+
+def test_bound_sees_what_tokens_do_not():
+    def counts(**n):
+        out = np.zeros(101, dtype=np.int64)
+        for k, m in n.items():
+            out[int(k[1:])] = m
+        return out
+
+    for c, least in ((counts(n51=40), 40), (counts(n34=90), 45), (counts(n51=30, n26=60), 40), (counts(n100=7, n1=1), 8),
+                     (counts(), 0)):
+        assert P.least_sequences(c, 100) == least == sum(P.solve(c, 100).values())
+
+
 def test_pricing_matches_brute_force():
     rng = np.random.default_rng(1)
     weight = np.zeros(31)
